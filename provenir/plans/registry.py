@@ -3,13 +3,228 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..graph import ProvGraph
+from ..operators import audit_graph, centrality, construct, density, evaluate, stats
+from ..sources import labels as label_source
+from ..sources import star
+
+#: Seconds on either side of a label.
+WINDOW = 1000
+
+
+def rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(c, places) for c in columns})
+
+
+def one_stat(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return stats.count_edge_types(star.kernel_graph(spark, sf_dir), stats.STATS[name])
+
+
+def samples(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
+    return stats.samples(star.kernel_graph(spark, sf_dir), {k: s for k, s in stats.STATS.items() if not names or k in names})
+
+
+def stats_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(stats.by_name(samples(spark, sf_dir)), "mean")
+
+
+def node_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return samples(spark, sf_dir).where("id = 'C7'").select("id", "name", "stat", "value")
+
+
+def version_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return construct.version_edges(star.kernel_nodes(spark, sf_dir).select("pnode", "version").distinct())
+
+
+def attr_inheritance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = star.kernel_nodes(spark, sf_dir)
+    first = nodes.where("version = 0").select("pnode", F.col("name").alias("base_name"), F.col("freeze_sec").alias("base_sec"))
+    return nodes.join(first, "pnode", "left").select("pnode", "version", F.coalesce("name", "base_name").alias("name"), F.coalesce("freeze_sec", "base_sec").alias("freeze_sec"), "base_name")
+
+
+def edge_type_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every edge as ancestry; all but forks also as version edges."""
+    edges = star.kernel_edges(spark, sf_dir)
+    of = lambda cond: edges.where(cond).select("src", "dst")
+    return construct.resolve_types(of("true"), of("type = 'INPUT'"), of("type = 'FORKPARENT'"), of("type <> 'FORKPARENT'"))
+
+
+def degree(spark: SparkSession, sf_dir: str, direction: str) -> DataFrame:
+    return rounded(centrality.degree(star.kernel_graph(spark, sf_dir), direction), "value", places=9)
+
+
+def reverse_in_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(centrality.degree(star.kernel_graph(spark, sf_dir).reverse(), "in"), "value", places=9)
+
+
+def age(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(centrality.age(star.kernel_graph(spark, sf_dir)), "value")
+
+
+def pagerank_10it(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centrality.pagerank(star.kernel_graph(spark, sf_dir), rounds=10, tolerance=None)
+    return found.select("id", F.round(F.col("value") * 1e6, 4).alias("value"))
+
+
+def eigen_10it(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(centrality.eigenvector(star.kernel_graph(spark, sf_dir), rounds=10), "value", places=8)
+
+
+def kde_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = samples(spark, sf_dir, "proc_out_file")
+    return rounded(density.kde_score(own, own), "density").select("id", "name", "value", "density")
+
+
+def kde_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = samples(spark, sf_dir)
+    return density.kde_score(own, own)
+
+
+def kde_score_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(kde_all(spark, sf_dir), "density").select("id", "name", "stat", "value", "density")
+
+
+def kde_min_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(density.minimum_by_stat(kde_all(spark, sf_dir)), "density").select("name", "stat", "density")
+
+
+def kde_cross_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers scored as if they were the BUILDING segment's processes."""
+    own = samples(spark, sf_dir)
+    asked = own.where("id like 'S%'")
+    return rounded(density.kde_score(asked, own, model_name="BUILDING"), "density").select("id", "stat", "value", "density")
+
+
+def kde_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = kde_all(spark, sf_dir)
+    return rounded(evaluate.compare(scored.where("id = 'C0'"), scored.where("id = 'O1'")), "good", "bad", "difference")
+
+
+def hist10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return density.histogram(samples(spark, sf_dir)).select("name", "stat", "bin", "cnt")
+
+
+def kde_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(density.grid(samples(spark, sf_dir, "proc_out_file")), "value", "density").select("name", "i", "value", "density")
+
+
+def incarnations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_graph.incarnations(star.audit_events(spark, sf_dir)).select("seq.event_id", "pid", "child_row", "incarnation")
+
+
+def exec_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = star.audit_events(spark, sf_dir)
+    return audit_graph.exec_names(events, audit_graph.incarnations(events))
+
+
+def file_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    uses = star.audit_events(spark, sf_dir).where("kind in ('read', 'write')").select("seq", "path", (F.col("kind") == "write").alias("is_write"))
+    return audit_graph.file_versions(uses).select("seq.event_id", "path", "is_write", "ordinal", "version")
+
+
+def raw_graph(spark: SparkSession, sf_dir: str) -> ProvGraph:
+    return audit_graph.build(star.audit_events(spark, sf_dir))
+
+
+def egraph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raw_graph(spark, sf_dir).edges.select("src", "dst", "type", "operation", F.col("time").alias("sec"))
+
+
+def egraph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raw_graph(spark, sf_dir).unknown_names().nodes.select("id", "type", "name")
+
+
+def drop_isolated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return star.audit_graph_of(spark, sf_dir).nodes.select("id", "type", "name")
+
+
+def process_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return star.audit_graph_of(spark, sf_dir).process_counts()
+
+
+def processes(graph: ProvGraph) -> DataFrame:
+    return graph.nodes.where("type = 'process'")
+
+
+def ancestor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph = star.audit_graph_of(spark, sf_dir)
+    return rounded(centrality.ancestor(graph, processes(graph)), "value", places=9)
+
+
+def opsahl_values(graph: ProvGraph) -> DataFrame:
+    """id, name, metric, value of each process."""
+    own = processes(graph)
+    return own.select("id", "name").join(centrality.opsahl(graph, own), "id").select("id", "name", F.lit("opsahl").alias("metric"), "value")
+
+
+def opsahl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(opsahl_values(star.audit_graph_of(spark, sf_dir)), "value").select("id", "value")
+
+
+def opsahl_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    values = opsahl_values(star.audit_graph_of(spark, sf_dir))
+    return rounded(values.groupBy("name").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.max("value").alias("max")), "mean", "max")
+
+
+def parzen_ll(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = density.parzen(opsahl_values(star.audit_graph_of(spark, sf_dir)))
+    return rounded(found, "value", "ll").select("name", "value", "cnt", "n", "ll")
+
+
+def parzen_pred(spark: SparkSession, sf_dir: str, rank: str = "strict") -> DataFrame:
+    found = density.parzen_pred(density.parzen(opsahl_values(star.audit_graph_of(spark, sf_dir))), rank)
+    return rounded(found, "value", "pred").select("name", "value", "cnt", "pred")
+
+
+def candidates_symmetric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.candidates(star.audit_graph_of(spark, sf_dir), star.intrusion_labels(spark, sf_dir), WINDOW)
+
+
+def candidates_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = evaluate.candidates(star.audit_graph_of(spark, sf_dir), star.intrusion_labels(spark, sf_dir), WINDOW, "prefix")
+    return found.groupBy("label").agg(F.count("*").alias("n"))
+
+
+def psi_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph, marks = star.audit_graph_of(spark, sf_dir), star.intrusion_labels(spark, sf_dir)
+    values = opsahl_values(graph)
+    preds = values.join(density.parzen_pred(density.parzen(values)).select("name", "metric", "value", "pred"), ["name", "metric", "value"])
+    return evaluate.decisions(evaluate.candidates(graph, marks, WINDOW), preds, marks)
+
+
+def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(evaluate.confusion(psi_decisions(spark, sf_dir)), "tpr", "fpr")
+
+
+def label_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes = {"FURNITURE": "dos", "BUILD": "u2r", "AUTO": "probe", "-": "none"}
+    return star.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("name"), label_source.classify(F.col("c_mktsegment"), classes).alias("type"))
+
+
+def snapshot_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = star.audit_events(spark, sf_dir).select("event_id", F.col("time").alias("ts"))
+    batches = events.where("event_id % 97 = 0").select(F.col("event_id").alias("batch"), F.col("ts").alias("end_ts"))
+    return audit_graph.snapshot_as_of(events, batches, width=86400).select("event_id", "batch")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    found = {f"stat_{name}": partial(one_stat, name=name) for name in stats.STATS}
+    plain = (
+        stats_by_name, node_values, version_edges, attr_inheritance, edge_type_resolution, reverse_in_degree, age, kde_score, kde_score_all, kde_min_by_name, kde_cross_graph, kde_diff, hist10, kde_grid,
+        pagerank_10it, eigen_10it, incarnations, exec_names, file_versions, egraph_edges, egraph_nodes, drop_isolated, process_counts, ancestor, opsahl, opsahl_by_name, parzen_ll, parzen_pred,
+        candidates_symmetric, candidates_prefix, psi_decisions, confusion_matrix, label_class, snapshot_asof,
+    )
+    found |= {f.__name__: f for f in plain}
+    found |= {"in_degree": partial(degree, direction="in"), "out_degree": partial(degree, direction="out"), "parzen_pred_cume": partial(parzen_pred, rank="cume")}
+    return found
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .oracles import ORACLES
+
+    return ORACLES
