@@ -6,7 +6,8 @@ threshold. A model is a table of 64 x 64 transition weights, whatever the input.
 
 Training: patterns label the values that they catch as random, plain words are labelled ordinary; both
 come from a bounded sample of documents (SAMPLE, those whose text hashes lowest). Generated samples
-join them: digests in three alphabets, and identifiers made of the sample's words.
+join them: digests in three alphabets, and identifiers of two usual words each. Transitions that a
+label's strings show rarely back off to those between the classes of their signs.
 
 Defined results: a null text counts as empty and has no spans. Spans are in code points with their end
 exclusive; those of one kind don't overlap, those of different kinds may.
@@ -32,6 +33,10 @@ GENERATED = 1000
 #: Signs are numbered by their place here, all others are 63.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+"
 SIGNS = 64
+#: Words of generated identifiers.
+WORDS = "user name value key data file path index count list table time date start end first last next config internal public server client request response handler buffer string number type node error message default parent child module version update create delete load save open close read write test main build page image total result state event order".split()
+#: Weight of the class model, in transitions.
+BACKOFF = 8.0
 SPANS = "array<struct<kind:string,start:int,end:int,value:string>>"
 
 
@@ -79,22 +84,41 @@ def training_strings(docs: DataFrame, text_col: str, rows: int = SAMPLE) -> Data
     plain = words.select(F.lit(False).alias("random"), "s")
     digest = F.sha2(F.col("id").cast("string"), 256)
     made = spark.range(GENERATED).select(F.explode(F.array(digest, F.regexp_replace(F.base64(F.unhex(digest)), "=", ""), F.translate(F.substring(digest, 1, 32), "0123456789abcdef", "QZ3X7JKV5WBYHM2P"))).alias("s"))
-    joined = words.select(F.explode(F.array(F.concat(F.lower("s"), F.lit("_"), F.lower(F.reverse("s"))), F.concat(F.lower("s"), F.initcap("s"), F.lit("2")), F.concat(F.upper("s"), F.lit("_"), F.upper("s"), F.lit("_1")))).alias("s"))
-    return caught.union(plain).union(made.select(F.lit(True), "s")).union(joined.select(F.lit(False), "s"))
+    usual = F.array(*map(F.lit, WORDS))
+    pairs = spark.range(1).select(F.explode(F.flatten(F.transform(usual, lambda a: F.transform(usual, lambda b: F.array(F.concat(a, F.lit("_"), b), F.concat(a, F.initcap(b), F.lit("2")), F.concat(F.upper(a), F.lit("_"), F.upper(b), F.lit("_1")), F.concat(F.initcap(a), F.initcap(b))))))).alias("four")).select(F.explode("four").alias("s"))
+    return caught.union(plain).union(made.select(F.lit(True), "s")).union(pairs.select(F.lit(False), "s"))
+
+
+def sign_class(k: int) -> int:
+    return 0 if k < 26 else 1 if k < 52 else 2 if k < 62 else 3
+
+
+def log_transitions(counts: list[float]) -> list[float]:
+    """Log-probability of each transition from its counts, backed off to classes and then to single signs."""
+    single = [0.5] * SIGNS
+    between = [[0.5] * 4 for _ in range(4)]
+    for k, n in enumerate(counts):
+        single[k % SIGNS] += n
+        between[sign_class(k // SIGNS)][sign_class(k % SIGNS)] += n
+    whole = [sum(single[j] for j in range(SIGNS) if sign_class(j) == c) for c in range(4)]
+    out = []
+    for a in range(SIGNS):
+        row, to = counts[a * SIGNS : (a + 1) * SIGNS], between[sign_class(a)]
+        for b in range(SIGNS):
+            c = sign_class(b)
+            prior = to[c] / sum(to) * single[b] / whole[c]
+            out.append(math.log((row[b] + BACKOFF * prior) / (sum(row) + BACKOFF)))
+    return out
 
 
 def fit(docs: DataFrame, text_col: str = "text", rows: int = SAMPLE) -> list[float]:
     """The log-likelihood ratio of each transition, random over ordinary."""
     strings = training_strings(docs, text_col, rows)
     counted = strings.where("length(s) > 1").select("random", "s", F.explode(F.sequence(F.lit(1), F.length("s") - 1)).alias("k")).groupBy("random", transition(F.col("s"), F.col("k")).alias("at")).agg(F.count("*").alias("n"))
-    counts = {True: [0.5] * SIGNS**2, False: [0.5] * SIGNS**2}
+    counts = {True: [0.0] * SIGNS**2, False: [0.0] * SIGNS**2}
     for r in counted.collect():  # two rows for each transition at most
         counts[r.random][r["at"] - 1] += r.n
-
-    def logs(c: list[float]) -> list[float]:
-        return [math.log(c[k] / sum(c[k - k % SIGNS : k - k % SIGNS + SIGNS])) for k in range(SIGNS**2)]
-
-    return [p - q for p, q in zip(logs(counts[True]), logs(counts[False]), strict=True)]
+    return [p - q for p, q in zip(log_transitions(counts[True]), log_transitions(counts[False]), strict=True)]
 
 
 def likelihood_ratio(string: Column, model: list[float]) -> Column:
