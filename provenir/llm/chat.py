@@ -44,7 +44,7 @@ FLAT = (
     (("question", "user"), ("answer", "assistant")),
     (("context", "user"), ("question", "user"), ("answer", "assistant")),
 )
-#: Role names of the layouts and the canonical ones; others stay as they are.
+#: Role names of layouts whose field isn't `role`, and the canonical ones; others stay as they are.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "chatgpt": "assistant"}
 
 
@@ -82,7 +82,7 @@ def mapped(record: Column, mapping) -> Column:
     if isinstance(mapping[0], str):
         path, role, text = mapping
         rows = F.try_variant_get(record, f"$.{path}", f"array<struct<`{role}`:string,`{text}`:string>>")
-        turns = F.transform(F.coalesce(rows, F.array().cast(f"array<struct<`{role}`:string,`{text}`:string>>")), lambda x: F.struct(canonical(x[role]).alias("role"), F.coalesce(x[text], F.lit("")).alias("text")))
+        turns = F.transform(F.coalesce(rows, F.array().cast(f"array<struct<`{role}`:string,`{text}`:string>>")), lambda x: F.struct((F.coalesce(x[role], F.lit("")) if role == "role" else canonical(x[role])).alias("role"), F.coalesce(x[text], F.lit("")).alias("text")))
         return turns.cast(TURNS)
     parts: list[tuple[str, list[Column]]] = []
     for name, role in mapping:
