@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, checkpointed, field
+from .common import append_columns, bounded_batches, checkpointed, field
 
 SHINGLE = 4
 RADIUS = 4
@@ -165,6 +165,7 @@ def shard_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     fps: distinct values in column fp. The shards of a block are its values; a shard's rows are
     numbers only, and copies are counted once.
     """
+    bounded_batches(fps.sparkSession)
     blocks = block_count(fps.count(), radius)
     cuts = [64 * k // blocks for k in range(blocks + 1)]
 
