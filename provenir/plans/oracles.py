@@ -88,6 +88,13 @@ dec AS (SELECT l.label, l.type, psi, count(*) FILTER (pred > psi) AS normal, cou
         FROM lab l CROSS JOIN (VALUES {psis}) AS t(psi) LEFT JOIN scored s ON l.label = s.label GROUP BY l.label, l.type, psi)"""
 
 
+CONFUSION = """c AS (SELECT psi, count(*) FILTER (type = 'u2r' AND intrusions > normal) AS tp, count(*) FILTER (type = 'u2r' AND intrusions <= normal) AS fn, count(*) FILTER (type = 'none' AND intrusions > normal) AS fp, count(*) FILTER (type = 'none' AND intrusions <= normal) AS tn FROM dec GROUP BY psi) SELECT *, round(tp / (tp + fn), 6) AS tpr, round(fp / (fp + tn), 6) AS fpr FROM c"""
+
+
+def sweep(widths: tuple[int, ...]) -> str:
+    return " UNION ALL ".join(f"SELECT {w} AS w, * FROM (WITH {decisions(w)}, {CONFUSION})" for w in widths)
+
+
 def stat(name: str) -> str:
     s = STATS[name]
     near, far = ("src", "dst") if s.direction == "out" else ("dst", "src")
@@ -163,7 +170,8 @@ ORACLES: dict[str, str] = {f"stat_{k}": stat(k) for k in STATS} | {
     "candidates_symmetric": f"WITH {AUDIT}, {LABELS}, {candidates(1000)} SELECT label, id, name FROM cand",
     "candidates_prefix": f"WITH {AUDIT}, {LABELS}, {candidates(1000, 'prefix')} SELECT label, count(*) AS n FROM cand GROUP BY label",
     "psi_decisions": f"WITH RECURSIVE {AUDIT}, {REACH}, {OPSAHL}, {PARZEN}, {LABELS}, {decisions(1000)} SELECT * FROM dec",
-    "confusion_matrix": f"WITH RECURSIVE {AUDIT}, {REACH}, {OPSAHL}, {PARZEN}, {LABELS}, {decisions(1000)}, c AS (SELECT psi, count(*) FILTER (type = 'u2r' AND intrusions > normal) AS tp, count(*) FILTER (type = 'u2r' AND intrusions <= normal) AS fn, count(*) FILTER (type = 'none' AND intrusions > normal) AS fp, count(*) FILTER (type = 'none' AND intrusions <= normal) AS tn FROM dec GROUP BY psi) SELECT *, round(tp / (tp + fn), 6) AS tpr, round(fp / (fp + tn), 6) AS fpr FROM c",
+    "confusion_matrix": f"WITH RECURSIVE {AUDIT}, {REACH}, {OPSAHL}, {PARZEN}, {LABELS}, {decisions(1000)}, {CONFUSION}",
+    "window_sweep": f"WITH RECURSIVE {AUDIT}, {REACH}, {OPSAHL}, {PARZEN}, {LABELS} {sweep((10, 100, 1000))}",
     "label_class": "WITH m(pre, cls) AS (VALUES ('FURNITURE', 'dos'), ('BUILD', 'u2r'), ('AUTO', 'probe'), ('-', 'none')) SELECT c_custkey AS id, c_mktsegment AS name, coalesce((SELECT cls FROM m WHERE pre = c_mktsegment), (SELECT min(cls) FROM m WHERE starts_with(c_mktsegment, pre)), 'unknown') AS type FROM customer",
     "snapshot_asof": "WITH e AS (SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS t FROM events), b AS (SELECT event_id AS batch, t AS end_ts FROM e WHERE event_id % 97 = 0) SELECT event_id, (SELECT arg_min(batch, (end_ts, batch)) FROM b WHERE end_ts >= e.t) AS batch FROM e",
 }

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..graph import ProvGraph
 from ..operators import audit_graph, centrality, construct, density, evaluate, stats
+from ..session import checkpointed
 from ..sources import labels as label_source
 from ..sources import star
 
@@ -190,17 +191,26 @@ def candidates_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("label").agg(F.count("*").alias("n"))
 
 
+def process_preds(graph: ProvGraph) -> DataFrame:
+    """id, pred of each process by its harmonic closeness."""
+    values = opsahl_values(graph)
+    return values.join(density.parzen_pred(density.parzen(values)).select("name", "metric", "value", "pred"), ["name", "metric", "value"])
+
+
 def psi_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph, marks = star.audit_graph_of(spark, sf_dir), star.intrusion_labels(spark, sf_dir)
-    values = opsahl_values(graph)
-    preds = values.join(density.parzen_pred(density.parzen(values)).select("name", "metric", "value", "pred"), ["name", "metric", "value"])
-    return evaluate.decisions(evaluate.candidates(graph, marks, WINDOW), preds, marks)
+    return evaluate.decisions(evaluate.candidates(graph, marks, WINDOW), process_preds(graph), marks)
 
 
 def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(evaluate.confusion(psi_decisions(spark, sf_dir)), "tpr", "fpr")
 
 
+def window_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph = star.audit_graph_of(spark, sf_dir)
+    return rounded(evaluate.window_sweep(graph, star.intrusion_labels(spark, sf_dir), checkpointed(process_preds(graph))), "tpr", "fpr")
+
+
 def label_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = {"FURNITURE": "dos", "BUILD": "u2r", "AUTO": "probe", "-": "none"}
     return star.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("name"), label_source.classify(F.col("c_mktsegment"), classes).alias("type"))
@@ -217,7 +227,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plain = (
         stats_by_name, node_values, version_edges, attr_inheritance, edge_type_resolution, reverse_in_degree, age, kde_score, kde_score_all, kde_min_by_name, kde_cross_graph, kde_diff, hist10, kde_grid,
         pagerank_10it, eigen_10it, incarnations, exec_names, file_versions, egraph_edges, egraph_nodes, drop_isolated, process_counts, ancestor, opsahl, opsahl_by_name, parzen_ll, parzen_pred,
-        candidates_symmetric, candidates_prefix, psi_decisions, confusion_matrix, label_class, snapshot_asof,
+        candidates_symmetric, candidates_prefix, psi_decisions, confusion_matrix, window_sweep, label_class, snapshot_asof,
     )
     found |= {f.__name__: f for f in plain}
     found |= {"in_degree": partial(degree, direction="in"), "out_degree": partial(degree, direction="out"), "parzen_pred_cume": partial(parzen_pred, rank="cume")}
