@@ -103,6 +103,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int) -> tuple[list[str], list[int]]:
+    """Texts and labels (0 or 1) of at most `rows` labelled rows, the same for the same tables.
+
+    The labels whose ids hash lowest are chosen before the texts are looked up, so that the join
+    broadcasts at most `rows` of them and no text is shuffled but theirs.
+    """
+    chosen = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("i"), F.xxhash64(F.col(id_col)).alias("h"), F.col(label_col).cast("int").alias("y")).orderBy("h", "i", "y").limit(rows)
+    found = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(F.broadcast(chosen), "i")
+    texts, marks = [], []
+    for r in found.orderBy("h", "i", "t", "y").limit(rows).select("t", "y").toLocalIterator():
+        texts.append(r.t)
+        marks.append(r.y)
+    return texts, marks
+
+
 def file_system(path: str):
     """pyarrow's file system for path, and the path within it."""
     from pyarrow import fs

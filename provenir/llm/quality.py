@@ -20,10 +20,9 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, field
+from .common import append_columns, field, labelled_sample
 
 TRAIN_ROWS = 4000
 BUCKETS = 1 << 17
@@ -131,15 +130,9 @@ def train(texts: Sequence[str], labels: Sequence[int], buckets: int = BUCKETS, d
     return Model(table.astype(np.float64) @ v, float(bias[1] - bias[0]))
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = TRAIN_ROWS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = TRAIN_ROWS) -> Model:
     """A model of at most `rows` labelled rows, those whose id hashes lowest; the same rows give the same model."""
-    bounded = labelled.where(F.col(label_col).isin(0, 1)).select(F.xxhash64(F.col(id_col)).alias("h"), F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), F.col(label_col).cast("int").alias("y"))
-    got = bounded.orderBy("h", "i", "t", "y").limit(rows).select("t", "y").toLocalIterator()
-    texts, labels = [], []
-    for r in got:
-        texts.append(r.t)
-        labels.append(r.y)
-    return train(texts, labels)
+    return train(*labelled_sample(docs, labels, id_col, text_col, label_col, rows))
 
 
 @lru_cache(1)

@@ -52,14 +52,9 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-def labelled(spark: SparkSession, sf_dir: str, docs: DataFrame, label: str, parts: int, held: int) -> DataFrame:
-    """doc_id, text and label of the rows outside the held-out fold."""
-    labels = read_table(spark, sf_dir, "labels").select("doc_id", label).where(~fold(F.col("doc_id"), parts, held))
-    return docs.select("doc_id", "text").join(labels, "doc_id")
-
-
-def quality_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> quality.Model:
-    return quality.fit(labelled(spark, sf_dir, docs, "quality", 5, 0))
+def training_labels(spark: SparkSession, sf_dir: str, label: str, parts: int, held: int) -> DataFrame:
+    """doc_id and label of the rows outside the held-out fold."""
+    return read_table(spark, sf_dir, "labels").select("doc_id", label).where(~fold(F.col("doc_id"), parts, held))
 
 
 def scored(df: DataFrame, parts: int, held: int) -> DataFrame:
@@ -68,7 +63,7 @@ def scored(df: DataFrame, parts: int, held: int) -> DataFrame:
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    return scored(quality.score_texts(docs, quality_model(spark, sf_dir, docs)), 5, 0)
+    return scored(quality.score_texts(docs, quality.fit(docs, training_labels(spark, sf_dir, "quality", 5, 0))), 5, 0)
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +79,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    detector = toxicity.fit(docs, labelled(spark, sf_dir, docs, "toxic", 4, 2))
+    detector = toxicity.fit(docs, training_labels(spark, sf_dir, "toxic", 4, 2))
     return scored(toxicity.score_texts(docs, detector), 4, 2)
 
 

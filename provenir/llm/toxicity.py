@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, bounded_batches, field
+from .common import append_columns, bounded_batches, field, labelled_sample
 
 TRAIN_ROWS = 6000
 #: Words that a worker keeps; a full cache starts anew.
@@ -244,15 +244,9 @@ def train(texts: Sequence[str], labels: Sequence[int], counts: np.ndarray) -> De
     return Detector(counts, learn_markers(texts, labels, speller), tuple(w))
 
 
-def fit(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS) -> Detector:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS) -> Detector:
     """Language model of all docs; markers and layer of at most `rows` labelled rows."""
-    counts = trigram_counts(docs, text_col)
-    bounded = labelled.where(F.col(label_col).isin(0, 1)).select(F.xxhash64(F.col(id_col)).alias("h"), F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), F.col(label_col).cast("int").alias("y"))
-    texts, labels = [], []
-    for r in bounded.orderBy("h", "i", "t", "y").limit(rows).select("t", "y").toLocalIterator():
-        texts.append(r.t)
-        labels.append(r.y)
-    return train(texts, labels, counts)
+    return train(*labelled_sample(docs, labels, id_col, text_col, label_col, rows), trigram_counts(docs, text_col))
 
 
 @lru_cache(1)
