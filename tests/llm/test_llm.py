@@ -221,7 +221,7 @@ def test_decontamination(spark):
     items = [(1, " ".join(base[:14])), (2, " ".join(base[20:35])), (3, "Short ÉTUDE item"), (4, None), (5, "..."), (6, " ".join(base[:14])), (7, "a a a a a a a a a a a a")]
     texts = [
         (0, None), (1, ""), (2, ".. "), (3, "x, " + " ".join(base[:14]).upper() + " y"), (4, " ".join(base[2:12])), (5, " ".join(base[2:11])), (6, "short étude item"), (7, "short ÉTUDE item! short ÉTUDE item"),
-        (8, " ".join(base[15:40] + base[:10])), (8, " ".join(base[15:40] + base[:10])), (9, "a " * 30), (10, " ".join(base[:9] + ["z"] + base[10:20])), (11, "(" + " ".join(base[25:35]) + ")" + " w" * 3000),
+        (8, " ".join(base[15:40] + base[:10])), (8, " ".join(base[15:40] + base[:10])), (9, "a " * 30), (10, " ".join(base[:9] + ["z"] + base[10:20])), (11, "(" + " ".join(base[25:35]) + ")" + " w" * 3000), (None, " ".join(base[:14])),
     ]
     docs = spark.createDataFrame([(d, t, "own") for d, t in texts], "doc_id long, text string, items string")
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -248,11 +248,11 @@ def labelled(spark, good, bad, n=60):
 
 def test_quality(spark, docs, none):
     df = labelled(spark, lambda k: f"good clean prose number{k % 7} about things", lambda k: f"junk### spam%%% {k % 5}!! !!")
-    model = quality.fit(df, label_col="y")
+    model = quality.fit(df, df, label_col="y")
     got = {r.doc_id: r.score for r in quality.score_texts(df, model).collect()}
     assert all((got[k] > 0.5) == bool(k % 2) for k in range(60)) and 0 <= got[60] <= 1 and got[60] == got[61]
-    assert quality.fit(df, label_col="y").bias == model.bias
-    empty = quality.fit(none.withColumn("y", F.lit(1)), label_col="y")
+    assert quality.fit(df, df, label_col="y").bias == model.bias
+    empty = quality.fit(none, none.withColumn("y", F.lit(1)), label_col="y")
     assert {r.score for r in quality.score_texts(docs, empty).collect()} == {0.5} and quality.score_texts(none, empty).count() == 0
 
 
