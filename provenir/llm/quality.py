@@ -27,7 +27,7 @@ from .common import append_columns, field, labelled_sample
 TRAIN_ROWS = 4000
 BUCKETS = 1 << 17
 DIM = 8
-EPOCHS = 4
+EPOCHS = 2
 #: A small sample is gone over more often, up to so many steps.
 LEAST_STEPS = 8000
 RATE = 4.0
