@@ -35,7 +35,7 @@ WIDTHS = np.array([0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 0])
 #: Ids after which a block ends.
 BLOCK_IDS = 1 << 16
 #: Words' ids that a worker keeps; a full cache starts anew.
-CACHE = 300_000
+CACHE = 500_000
 
 
 def pack(values: np.ndarray) -> np.ndarray:
@@ -143,7 +143,12 @@ class Words(dict):
             out = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
         else:
             low = word.lower()
-            out = self.piece(low) if low.isalpha() else b"".join(map(self.piece, PIECES.findall(low)))
+            if low.isalpha():
+                out = self.piece(low)
+            elif low[-1] in ".," and low[:-1].isalpha():
+                out = self.piece(low[:-1]) + self.piece(low[-1])
+            else:
+                out = b"".join(map(self.piece, PIECES.findall(low)))
         if len(word) <= 64:
             self[word] = out
         return out
