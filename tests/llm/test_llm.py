@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from provenir.llm import byte_bpe, chat, decontaminate, html_extract, media, quality, queries, secrets, simhash, token_files, toxicity
+from provenir.llm import byte_bpe, chat, decontaminate, html_extract, media, near_copies, quality, queries, secrets, simhash, token_files, toxicity
 
 TEXTS = [
     None,
@@ -388,5 +388,40 @@ def test_pipeline(spark, sf_dir):
     assert last.where("not exact").count() == 0 and last.count() == len(kept[-1])
 
 
+def brute_near_copies(texts):
+    def shingles(text):
+        w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
+        return {" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+    own, ids = [shingles(t) for t in texts], list(range(len(texts)))
+
+    def top(k):
+        while ids[k] != k:
+            k = ids[k]
+        return k
+
+    for a in range(len(own)):
+        for b in range(a):
+            if 5 * len(own[a] & own[b]) >= 4 * len(own[a] | own[b]):
+                ids[max(top(a), top(b))] = min(top(a), top(b))
+    return [top(k) for k in range(len(own))]
+
+
+def test_near_copies(spark, docs):
+    rng = np.random.default_rng(7)
+    texts = list(TEXTS)
+    for _ in range(25):
+        base = [f"w{x}" for x in rng.integers(0, 5000, int(rng.integers(30, 400)))]
+        for share in (0, 0.01, 0.02, 0.04, 0.06):
+            texts.append(" ".join(f"z{rng.integers(0, 5000)}" if rng.random() < share else x for x in base))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    root = {r.doc_id: r.root for r in near_copies.near_copies(df).collect()}
+    first = {}
+    got = [first.setdefault(root[k], k) for k in range(len(texts))]
+    assert got == brute_near_copies(texts) and len(set(got)) < len(texts) - 40
+    fps = brute_components([brute_fingerprint(t) for t in texts])
+    assert got != fps and near_copies.near_copies(df.where("doc_id < 0")).count() == 0
+
+
 def test_every_query_is_registered():
     assert sorted(queries.queries()) == sorted([*(f.__name__ for f in (queries.op1_html_extraction, queries.op2_secret_scans, queries.op3_chat_formatting, queries.op4_media_columns, queries.op5_byte_bpe, queries.op6_decontamination, queries.op7_quality_classifier, queries.op8_simhash, queries.op9_token_files, queries.op10_toxicity)), "pipeline"])
