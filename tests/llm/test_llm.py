@@ -423,5 +423,18 @@ def test_near_copies(spark, docs):
     assert got != fps and near_copies.near_copies(df.where("doc_id < 0")).count() == 0
 
 
+def test_stages_decide_on_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    one, two, leak = (" ".join(f"{x}{k}" for k in range(30)) for x in ("a", "b", "c"))
+    rows = [(1, one), (1, two), (1, two), (2, one), (None, leak), (None, leak), (None, one), (None, "alone here"), (3, leak + " x"), (3, "another text"), (None, None), (4, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.dedup_stage(spark, df, str(tmp_path))
+    assert sorted((tuple(r) for r in kept.collect()), key=str) == sorted([(1, one), (1, two), (3, leak + " x"), (3, "another text"), (4, ""), (None, "alone here")], key=str)
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    kept = corpus_pipeline.decontamination_stage(spark, df, str(tmp_path))
+    assert sorted((tuple(r) for r in kept.collect()), key=str) == sorted([r for r in rows if not (r[1] or "").startswith(leak)], key=str)
+
+
 def test_every_query_is_registered():
     assert sorted(queries.queries()) == sorted([*(f.__name__ for f in (queries.op1_html_extraction, queries.op2_secret_scans, queries.op3_chat_formatting, queries.op4_media_columns, queries.op5_byte_bpe, queries.op6_decontamination, queries.op7_quality_classifier, queries.op8_simhash, queries.op9_token_files, queries.op10_toxicity)), "pipeline"])
