@@ -30,16 +30,13 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def words_between(text: Column) -> Column:
-    """The text's words; a separator at either end leaves an empty word there, which matches nothing."""
-    return F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), SEPARATORS)
+    """The text's words, A-Z in lower case; a separator at either end leaves an empty word there, which matches nothing.
 
-
-def terms_between(text: Column) -> Column:
-    """The words in full lower case, as the index has them: equal words have equal terms, in equal places.
-
-    lower() is three times as fast as translate(); comparing words tells letters apart beyond A-Z.
+    lower() is three times as fast as translate() and the same for ASCII. For other texts it isn't: it
+    follows what stands around a letter (final sigma), beyond the word's ends.
     """
-    return F.split(F.lower(F.coalesce(text, F.lit(""))), SEPARATORS)
+    whole = F.coalesce(text, F.lit(""))
+    return F.split(F.when(F.octet_length(whole) == F.length(whole), F.lower(whole)).otherwise(F.translate(whole, UPPER, LOWER)), SEPARATORS)
 
 
 def word_count(words: Column) -> Column:
@@ -54,7 +51,7 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", terms: DataFrame | None = None) -> DataFrame:
     """The index: `term`, `d` (id), `h` (hash of the text), `pos` (from 0). terms: a table of the only terms to store, in column term."""
-    found = keyed(docs, id_col, text_col).select("d", "h", F.posexplode(terms_between(F.col("t"))).alias("pos", "term"))
+    found = keyed(docs, id_col, text_col).select("d", "h", F.posexplode(words_between(F.col("t"))).alias("pos", "term"))
     return found.where("term <> ''") if terms is None else found.join(sized(terms), "term")
 
 
@@ -73,9 +70,9 @@ def windows_of(items: DataFrame, id_col: str, text_col: str, window: int) -> Dat
 def anchored(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str, item_id: str, item_text: str, window: int) -> DataFrame:
     """For each item with windows whose words all occur in the corpus: `item`, `iw`, `size`, `need` (for each such window its anchors' places), `anchors` (all places)."""
     spans = windows_of(items, item_id, item_text, window)
-    terms = spans.select(F.explode(F.transform("iw", F.lower)).alias("term")).distinct()
+    terms = spans.select(F.explode("iw").alias("term")).distinct()
     counts = checkpointed(postings(docs, doc_id, doc_text, terms).groupBy("term").agg(F.count("*").alias("n")))
-    places = spans.select("item", "iw", "size", F.posexplode(F.transform("iw", F.lower)).alias("q", "term")).distinct().join(sized(counts), "term")
+    places = spans.select("item", "iw", "size", F.posexplode("iw").alias("q", "term")).distinct().join(sized(counts), "term")
     rarity = places.groupBy("item", "iw", "size").agg(F.map_from_entries(F.collect_list(F.struct("q", "n"))).alias("n"))
     best = (
         rarity.select("item", "iw", "size", "n", F.explode(F.sequence(F.lit(0), F.size("iw") - F.col("size"))).alias("at"))
@@ -90,7 +87,7 @@ def anchored(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str, item
 
 def alignments(docs: DataFrame, marked: DataFrame, doc_id: str, doc_text: str) -> DataFrame:
     """`d`, `h`, `item`, `iw`, `size`, `shift`: where in a document (shift + place in the item) a window may match, by its anchors."""
-    lookup = marked.select("item", "iw", F.explode("anchors").alias("q")).select(F.lower(F.element_at("iw", F.col("q") + 1)).alias("term"), "item", "q")
+    lookup = marked.select("item", "iw", F.explode("anchors").alias("q")).select(F.element_at("iw", F.col("q") + 1).alias("term"), "item", "q")
     lists = postings(docs, doc_id, doc_text, lookup.groupBy("term").agg(F.collect_list(F.struct("item", "q")).alias("uses")))
     met = lists.select("d", "h", "pos", F.explode("uses").alias("use")).select("d", "h", F.col("use.item").alias("item"), "use.q", (F.col("pos") - F.col("use.q")).alias("shift"))
     hit = met.groupBy("d", "h", "item", "shift").agg(F.collect_set("q").alias("met"))
@@ -115,7 +112,7 @@ def phrase_matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", do
     found = checkpointed(alignments(docs, marked, doc_id, doc_text))
     maybe = bitmap(found)
     per_doc = found.groupBy(F.col("d").alias("d0"), F.col("h").alias("h0")).agg(F.collect_list(F.struct("item", "iw", "size", "shift")).alias("cases"))
-    rows = keyed(docs, doc_id, doc_text).select("d", "h", word_count(terms_between(F.col("t"))).alias("n_words"), F.when(maybe, F.col("t")).alias("t"))
+    rows = keyed(docs, doc_id, doc_text).select("d", "h", word_count(words_between(F.col("t"))).alias("n_words"), F.when(maybe, F.col("t")).alias("t"))
     joined = rows.join(per_doc, F.col("d").eqNullSafe(F.col("d0")) & (F.col("h") == F.col("h0")), "left")
     w = F.col("w")
 
@@ -145,8 +142,8 @@ def proximity_matches(docs: DataFrame, phrases: DataFrame, slop: int, doc_id: st
     sorted within a document and phrase; the first posting of each word at or after a start is a
     running minimum from the end.
     """
-    words = phrases.select(F.col(item_id).alias("item"), F.array_distinct(F.filter(terms_between(F.col(item_text)), lambda w: w != "")).alias("iw")).where("size(iw) > 0").distinct()
-    uses = words.select("item", F.size("iw").alias("size"), F.posexplode(F.transform("iw", F.lower)).alias("q", "term")).groupBy("term").agg(F.collect_list(F.struct("item", "size", "q")).alias("uses"))
+    words = phrases.select(F.col(item_id).alias("item"), F.array_distinct(F.filter(words_between(F.col(item_text)), lambda w: w != "")).alias("iw")).where("size(iw) > 0").distinct()
+    uses = words.select("item", F.size("iw").alias("size"), F.posexplode("iw").alias("q", "term")).groupBy("term").agg(F.collect_list(F.struct("item", "size", "q")).alias("uses"))
     lists = postings(docs, doc_id, doc_text, uses).select("d", "h", "pos", F.explode("uses").alias("u")).select("d", "h", "pos", "u.item", "u.size", "u.q").distinct()
     ahead = lists.groupBy("d", "h", "item", "size").agg(F.array_sort(F.collect_list(F.struct("pos", "q"))).alias("own"))
 

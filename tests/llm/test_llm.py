@@ -231,6 +231,15 @@ def test_decontamination(spark):
     assert decontaminate.phrase_matches(docs.where("doc_id > 99"), bench).count() == 0
 
 
+def test_decontamination_beyond_ascii(spark):
+    greek = ["ΟΔΟΣ.ΑΒ ΚΑΙ Ο.Σ. ΤΟ'ΣΑ:Σ.Χ ΟΣ ΕΝΑ ΔΥΟ ΤΡΙΑ ΤΕΣΣΕΡΑ Ω", "ΟΔΟΣ.ΑΒ X", "ΣΑΣ:Σ"]
+    bench = spark.createDataFrame(list(enumerate(greek)), "item_id long, text string")
+    texts = [(k, f"Before.{t}.After é") for k, t in enumerate(greek)] + [(8, "οδος.αβ x"), (9, "İ I K ΟΔΟΣ:ΑΒ:x")]
+    got = decontaminate.phrase_matches(spark.createDataFrame(texts, "doc_id long, text string"), bench).collect()
+    want = brute_hits(texts, list(enumerate(greek)))
+    assert sorted(((r.doc_id, r.n_words, r.n_hit, list(r["items"])) for r in got), key=str) == want and [x[2] > 0 for x in want] == [True, True, True, False, True]
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "red x blue y green"), (2, "red x x x x blue green"), (3, None)], "doc_id long, text string")
     bench = spark.createDataFrame([(1, "green red blue")], "item_id long, text string")
