@@ -11,7 +11,8 @@ BITMAP_BITS bits, whatever the input, which keeps the texts of documents without
 last join.
 
 Defined results: null texts have no words; an item without words has no windows; repeated rows are
-rows of their own with equal results, null ids among them; an empty benchmark hits nothing.
+rows of their own with equal results, null ids among them; an item with a null id is one like any other
+and a null at the end of `items`; an empty benchmark hits nothing.
 """
 
 from __future__ import annotations
@@ -68,7 +69,7 @@ def windows_of(items: DataFrame, id_col: str, text_col: str, window: int) -> Dat
 
 
 def anchored(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str, item_id: str, item_text: str, window: int) -> DataFrame:
-    """For each item with windows whose words all occur in the corpus: `item`, `iw`, `size`, `need` (for each such window its anchors' places), `anchors` (all places)."""
+    """For each item with windows whose words all occur in the corpus: `item`, `iw`, `size`, `need` (for each such window its anchors' places), `anchors` (all places), `key` (of id and words)."""
     spans = windows_of(items, item_id, item_text, window)
     terms = spans.select(F.explode("iw").alias("term")).distinct()
     counts = checkpointed(postings(docs, doc_id, doc_text, terms).groupBy("term").agg(F.count("*").alias("n")))
@@ -82,17 +83,17 @@ def anchored(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str, item
     )
     grouped = best.groupBy("item", "iw", "size").agg(F.collect_list("at").alias("ats"), F.collect_set("anchor").alias("anchors"))
     need = F.transform("ats", lambda at: F.filter("anchors", lambda q: (q >= at) & (q < at + F.col("size"))))
-    return checkpointed(grouped.select("item", "iw", "size", "anchors", F.array_distinct(need).alias("need")))
+    return checkpointed(grouped.select("item", "iw", "size", "anchors", F.array_distinct(need).alias("need"), F.xxhash64("item", "iw").alias("key")))
 
 
 def alignments(docs: DataFrame, marked: DataFrame, doc_id: str, doc_text: str) -> DataFrame:
     """`d`, `h`, `item`, `iw`, `size`, `shift`: where in a document (shift + place in the item) a window may match, by its anchors."""
-    lookup = marked.select("item", "iw", F.explode("anchors").alias("q")).select(F.element_at("iw", F.col("q") + 1).alias("term"), "item", "q")
-    lists = postings(docs, doc_id, doc_text, lookup.groupBy("term").agg(F.collect_list(F.struct("item", "q")).alias("uses")))
-    met = lists.select("d", "h", "pos", F.explode("uses").alias("use")).select("d", "h", F.col("use.item").alias("item"), "use.q", (F.col("pos") - F.col("use.q")).alias("shift"))
-    hit = met.groupBy("d", "h", "item", "shift").agg(F.collect_set("q").alias("met"))
+    lookup = marked.select("key", "iw", F.explode("anchors").alias("q")).select(F.element_at("iw", F.col("q") + 1).alias("term"), "key", "q")
+    lists = postings(docs, doc_id, doc_text, lookup.groupBy("term").agg(F.collect_list(F.struct("key", "q")).alias("uses")))
+    met = lists.select("d", "h", "pos", F.explode("uses").alias("use")).select("d", "h", F.col("use.key").alias("key"), "use.q", (F.col("pos") - F.col("use.q")).alias("shift"))
+    hit = met.groupBy("d", "h", "key", "shift").agg(F.collect_set("q").alias("met"))
     whole = F.exists("need", lambda places: F.size(F.array_except(places, F.col("met"))) == 0)
-    return hit.join(sized(marked), "item").where(whole).select("d", "h", "item", "iw", "size", "shift")
+    return hit.join(sized(marked), "key").where(whole).select("d", "h", "item", "iw", "size", "shift")
 
 
 def bitmap(rows: DataFrame) -> Column:

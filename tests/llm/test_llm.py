@@ -240,6 +240,14 @@ def test_decontamination_beyond_ascii(spark):
     assert sorted(((r.doc_id, r.n_words, r.n_hit, list(r["items"])) for r in got), key=str) == want and [x[2] > 0 for x in want] == [True, True, True, False, True]
 
 
+def test_items_without_id(spark):
+    one, two = (" ".join(f"{x}{k}" for k in range(12)) for x in ("a", "b"))
+    bench = spark.createDataFrame([(None, one), (None, two), (4, two), (None, None)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, one), (2, f"x {two} {one}"), (3, "neither"), (None, one)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_hit, list(r["items"])) for r in decontaminate.phrase_matches(docs, bench).collect()}
+    assert got == {1: (12, [None]), 2: (24, ["4", None]), 3: (0, []), None: (12, [None])}
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "red x blue y green"), (2, "red x x x x blue green"), (3, None)], "doc_id long, text string")
     bench = spark.createDataFrame([(1, "green red blue")], "item_id long, text string")
