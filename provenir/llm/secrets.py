@@ -5,8 +5,7 @@ from labelled samples; a string is a secret if its log-likelihood ratio per tran
 threshold. A model is a table of 64 x 64 transition weights, whatever the input.
 
 Training: patterns label the values that they catch as random, plain words are labelled ordinary; both
-come from a bounded sample of documents (SAMPLE, those whose text hashes lowest). Generated samples
-join them: digests in three alphabets, and identifiers of two usual words each. Transitions that a
+come from all documents, each different string once. Generated samples join them: digests in three alphabets, and identifiers of two usual words each. Transitions that a
 label's strings show rarely back off to those between the classes of their signs.
 
 Defined results: a null text counts as empty and has no spans. Spans are in code points with their end
@@ -27,8 +26,7 @@ CANDIDATE = r"((?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z
 LEAST = 16
 #: Least log-likelihood ratio for each transition.
 THRESHOLD = 0.5
-#: Documents that training takes from the corpus, and generated random strings of each alphabet.
-SAMPLE = 2000
+#: Generated random strings of each alphabet.
 GENERATED = 1000
 #: Signs are numbered by their place here, all others are 63.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+"
@@ -75,12 +73,12 @@ def transition(string: Column, k: Column) -> Column:
     return a * SIGNS + b + 1
 
 
-def training_strings(docs: DataFrame, text_col: str, rows: int = SAMPLE) -> DataFrame:
-    """`random` (boolean) and `s`: the labelled sample."""
+def training_strings(docs: DataFrame, text_col: str) -> DataFrame:
+    """`random` (boolean) and `s`: the labelled strings."""
     spark = docs.sparkSession
-    sample = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("t")).orderBy(F.xxhash64("t"), "t").limit(rows)
-    caught = sample.select(F.explode(F.concat(*(matches(F.col("t"), p, g, n, kind) for kind, p, g, n in BASE))).alias("m")).select(F.lit(True).alias("random"), F.col("m.value").alias("s")).where("length(s) >= 12 and s rlike '[0-9]'")
-    words = sample.select(F.explode(F.regexp_extract_all("t", F.lit(r"([A-Za-z]{4,})"), 1)).alias("s")).distinct()
+    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    caught = texts.select(F.explode(F.concat(*(matches(F.col("t"), p, g, n, kind) for kind, p, g, n in BASE))).alias("m")).select(F.lit(True).alias("random"), F.col("m.value").alias("s")).where("length(s) >= 12 and s rlike '[0-9]'").distinct()
+    words = texts.select(F.explode(F.regexp_extract_all("t", F.lit(r"([A-Za-z]{4,})"), 1)).alias("s")).distinct()
     plain = words.select(F.lit(False).alias("random"), "s")
     digest = F.sha2(F.col("id").cast("string"), 256)
     made = spark.range(GENERATED).select(F.explode(F.array(digest, F.regexp_replace(F.base64(F.unhex(digest)), "=", ""), F.translate(F.substring(digest, 1, 32), "0123456789abcdef", "QZ3X7JKV5WBYHM2P"))).alias("s"))
@@ -111,9 +109,9 @@ def log_transitions(counts: list[float]) -> list[float]:
     return out
 
 
-def fit(docs: DataFrame, text_col: str = "text", rows: int = SAMPLE) -> list[float]:
+def fit(docs: DataFrame, text_col: str = "text") -> list[float]:
     """The log-likelihood ratio of each transition, random over ordinary."""
-    strings = training_strings(docs, text_col, rows)
+    strings = training_strings(docs, text_col)
     counted = strings.where("length(s) > 1").select("random", "s", F.explode(F.sequence(F.lit(1), F.length("s") - 1)).alias("k")).groupBy("random", transition(F.col("s"), F.col("k")).alias("at")).agg(F.count("*").alias("n"))
     counts = {True: [0.0] * SIGNS**2, False: [0.0] * SIGNS**2}
     for r in counted.collect():  # two rows for each transition at most

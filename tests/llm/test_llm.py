@@ -89,6 +89,14 @@ def test_secrets(spark, docs, none):
     assert spans == {0: "random:4:24", 1: "", 2: "random:0:22", 3: ""}
 
 
+def test_secret_models_learn_from_all_documents(spark):
+    copies = [(k, "copy token = abcdef123456789") for k in range(50)]
+    rows = [*copies, *((100 + k, f"word{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}q") for k in range(2500))]
+    got = secrets.training_strings(spark.createDataFrame(rows, "doc_id long, text string"), "text")
+    assert got.where("not random and s like 'word___q'").count() == 2500
+    assert got.where("random and s = 'abcdef123456789'").count() == 1
+
+
 def test_redaction(docs):
     model = secrets.fit(docs)
     got = {r.doc_id: r.t for r in secrets.scan_secrets(docs, model).select("doc_id", secrets.redacted(F.col("text"), F.col("secrets")).alias("t")).collect()}
