@@ -1,8 +1,8 @@
 """Toxicity: noisy-channel deobfuscation, then scoring of the restored text.
 
 A character language model (trigrams of letters and word borders) is counted over all documents. A
-word that mixes letters with look-alike signs, stretches a letter, or is spelt with gaps becomes a
-lattice of what each sign may stand for; the Viterbi path of the highest probability under channel
+word that holds look-alike signs, repeats a letter, or is spelt with gaps becomes a lattice of what
+each sign may stand for, and of where words end in letters spelt with spaces; the Viterbi path of the highest probability under channel
 and language model restores it. Restored words and their beginnings are looked up among markers
 learned from labelled rows, and a logistic layer over a document's markers gives the score.
 
@@ -49,9 +49,12 @@ BORDER, REST = 26, 27  # word border, any other letter
 SIZE = 28
 OUTER = re.compile(r"^[\W_]+|[\W_]+$")
 SIGNS = re.escape("".join(LOOKALIKES))
-#: A letter and a sign inside one word, a letter three times, or letters with one joint between each two.
-ODD = re.compile(rf"[^\W\d_][^\W\d_]*[{SIGNS}]+[^\W_]|[{SIGNS}]+[^\W\d_]|[^\W\d_]+[013457]|([^\W\d_])\1\1|^(?:[^\W_][._*~-]){{2,}}[^\W_]$")
-JOINT = re.compile(r"[._*~-]")
+#: Look-alike signs at a word's ends that may be punctuation instead, and the cost of that.
+OUTSIDE, OUTSIDE_COST = frozenset("!|+({<*#%&"), 0.5
+SPELT = r"(?:[^\W_][._*~-]+){2,}[^\W_]"
+#: A sign, a letter twice, or letters with joints between each two.
+ODD = re.compile(rf"[{SIGNS}]|([^\W\d_])\1|^{SPELT}$")
+JOINT = re.compile(r"[._*~-]+")
 
 
 @cache
@@ -96,8 +99,10 @@ class Speller:
 
     def lattice(self, word: str) -> list[list[tuple[str, float]]]:
         """For each place, (letters it may stand for, cost in the channel)."""
-        if JOINT.search(word) and re.fullmatch(r"(?:[^\W_][._*~-])+[^\W_]", word):
+        if re.fullmatch(SPELT, word):
             word = JOINT.sub("", word)
+        first = next((k for k, c in enumerate(word) if c not in OUTSIDE), len(word))
+        last = next((k for k in range(len(word), 0, -1) if word[k - 1] not in OUTSIDE), 0)
         out: list[list[tuple[str, float]]] = []
         k = 0
         while k < len(word):
@@ -109,15 +114,31 @@ class Speller:
                 out.append([(c * n, 0.0)] if n == 1 else [(c, 0.7), (c * 2, 0.7)])
             else:
                 stands = LOOKALIKES.get(c, "")
+                outside = [("", OUTSIDE_COST)] if k < first or k >= last else []
                 for _ in range(j - k if stands else 0):
-                    out.append([(x, math.log(len(stands)) + 0.5) for x in stands])
+                    out.append([*((x, math.log(len(stands)) + 0.5) for x in stands), *outside])
             k = j
         return out
 
     def restore(self, word: str) -> str:
         """The likeliest reading of a lower-case word."""
+        return self.decode([self.lattice(word)])
+
+    def spaced(self, signs: Sequence[str]) -> list[str]:
+        """The words of single signs that were spelt with spaces: the likeliest readings and borders."""
+        return self.decode([self.lattice(x) if x.isalpha() else [[(y, math.log(len(LOOKALIKES[x])) + 0.5) for y in LOOKALIKES[x]]] for x in signs if x.isalpha() or x in LOOKALIKES]).split()
+
+    def decode(self, groups: Sequence[list[list[tuple[str, float]]]]) -> str:
+        """The likeliest path through the places of all groups; a word may end between two groups."""
         best = {(BORDER, BORDER): (0.0, "")}
-        for place in self.lattice(word):
+        for place in [x for n, group in enumerate(groups) for x in [*([[]] if n else []), *group]]:
+            if not place:
+                ended: dict[tuple[int, int], tuple[float, str]] = {}
+                for (a, b), (cost, text) in best.items():
+                    own = cost + self.cost[a, b, BORDER], text + " "
+                    ended[b, BORDER] = min(own, ended.get((b, BORDER), own))
+                best |= ended
+                continue
             now: dict[tuple[int, int], tuple[float, str]] = {}
             for (a, b), (cost, text) in best.items():
                 for letters, channel in place:
@@ -132,8 +153,8 @@ class Speller:
         return min((cost + self.cost[a, b, BORDER], text) for (a, b), (cost, text) in best.items())[1]
 
 
-def restored_words(text: str, spell) -> Iterator[str]:
-    """The distinct words of a text as restored: spell(word) for each, and letters spelt with gaps joined."""
+def restored_words(text: str, spell, speller: Speller) -> Iterator[str]:
+    """The distinct words of a text as restored: spell(word) for each, and for letters spelt with gaps, joined as one word and as the speller parts them."""
     words = text.lower().split()
     yield from map(spell, set(words))
     sizes = list(map(len, words))
@@ -145,6 +166,9 @@ def restored_words(text: str, spell) -> Iterator[str]:
                 j += 1
             if j - k >= 3:
                 yield spell(".".join(words[k:j]))
+                parts = speller.spaced(words[k:j])
+                if len(parts) > 1:
+                    yield from map(spell, set(parts))
             k = max(j, k + 1)
 
 
@@ -152,8 +176,7 @@ def plain(word: str, speller: Speller) -> str:
     """A lower-case word without outer signs, restored where it is odd."""
     if word.isalpha() and not ODD.search(word):
         return word
-    core = word.strip(".,;:?\"'()[]{}<>`´’“”«»¿¡…*_~#%&-=/\\")
-    core = core.rstrip("!|") or core
+    core = word.strip(".,;:?\"')[]}>`´’“”«»¿¡…_~-=/\\")  # no sign that may stand for a letter
     if not ODD.search(core):
         return OUTER.sub("", core)
     return speller.restore(core) if any(map(str.isalpha, core)) else core
@@ -188,9 +211,9 @@ class Weights(dict):
         return out
 
 
-def evidence(text: str, weigh) -> tuple[float, float]:
+def evidence(text: str, weights: Weights) -> tuple[float, float]:
     """(highest marker weight, logarithm of 1 + sum of the weights) of a text's words."""
-    found = [w for w in restored_words(text, weigh) if w > 0]
+    found = [w for w in restored_words(text, weights.__getitem__, weights.speller) if w > 0]
     return (max(found), math.log1p(sum(found))) if found else (0.0, 0.0)
 
 
@@ -207,7 +230,7 @@ def learn_markers(texts: Sequence[str], labels: Sequence[int], speller: Speller)
         return known[word]
 
     def features(text: str) -> set[str]:
-        return {f for w in restored_words(text, spell) if w for f in beginnings(w)}
+        return {f for w in restored_words(text, spell, speller) if w for f in beginnings(w)}
 
     rows = [sum(1 for y in labels if y == k) for k in (0, 1)]
     for text, y in zip(texts, labels, strict=True):
@@ -233,7 +256,7 @@ def train(texts: Sequence[str], labels: Sequence[int], counts: np.ndarray) -> De
     held = [k for k in range(len(texts)) if k % 4 == 0]
     rest = [k for k in range(len(texts)) if k % 4]
     part = Detector(counts, learn_markers([texts[k] for k in rest], [labels[k] for k in rest], speller), (0.0, 0.0, 0.0))
-    weigh = Weights(part).__getitem__
+    weigh = Weights(part)
     x = np.array([(1.0, *evidence(texts[k], weigh)) for k in held]).reshape(-1, 3)
     y = np.array([labels[k] for k in held], float)
     w = np.zeros(3)
@@ -263,7 +286,7 @@ def score_texts(docs: DataFrame, detector: Detector, text_col: str = "text", kee
         b, *w = known.own.layer
 
         def compute(column: pa.Array) -> list[pa.Array]:
-            z = (b + sum(p * q for p, q in zip(w, evidence(x or "", known.__getitem__), strict=True)) for x in column.to_pylist())
+            z = (b + sum(p * q for p, q in zip(w, evidence(x or "", known), strict=True)) for x in column.to_pylist())
             return [pa.array([1 / (1 + math.exp(-max(-30.0, min(30.0, v)))) for v in z], pa.float64())]
 
         return compute

@@ -291,6 +291,15 @@ def test_toxicity(spark, docs, none):
     assert toxicity.score_texts(none, toxicity.fit(none, none.withColumn("y", F.lit(1)), label_col="y")).count() == 0
 
 
+def test_toxic_disguises(spark):
+    df = labelled(spark, lambda k: f"such a moron and scumb or fata and idiot, you number{k % 7}", lambda k: f"such a friend and a guest on the road, number{k % 5}", 400)
+    found = toxicity.fit(df, df, label_col="y")
+    plain = [f"{x} there" for x in ("moron", "mooron", "morron", "scum8", "fat@", "i--d--i--o--t", "such a m o r o n", "m o r o n i d i o t", "idiot!", "(idiot)", "*moron*")]
+    odd = spark.createDataFrame(list(enumerate([*plain, "a friend!", "on the road (a guest)"])), "doc_id long, text string")
+    got = [r.score > 0.3 for r in sorted(toxicity.score_texts(odd, found).collect())]
+    assert got == [True] * len(plain) + [False] * 2
+
+
 # 8
 
 
