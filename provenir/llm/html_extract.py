@@ -1,7 +1,8 @@
 """Main-text extraction from web pages by line-block distribution.
 
 A page becomes a sequence of lines (one for each block of text). Each line has a weight: its
-characters outside links, or nothing if an enclosing element is page furniture. Sums of the weights
+characters outside links, or nothing if an enclosing element is page furniture. What only its class,
+id or role calls furniture isn't if it holds the page's articles or most of its text. Sums of the weights
 over a sliding window of lines rise at a surge point, where text starts, and fall to nothing at a
 dive point, where it ends; the lines between them are kept.
 
@@ -38,28 +39,58 @@ HINT = re.compile(
 )
 #: The same for words that stand for a whole page header, taken outside an article only.
 HEADER = re.compile(r"(?:^|[\s_-])(?:headers?|banner)(?=$|[\s_-])")
+#: Marks that tell an element's state, not what it is.
+STATE = re.compile(r"(?<!\S)(?:(?:has|no|with|without)[_-]\S*|\S*[_-](?:open|closed))(?!\S)")
 MARKS = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 
 
 def is_furniture(name: str, attributes: str, in_article: bool) -> bool:
+    """By element, or hidden."""
     if name in FURNITURE or name == "header" and not in_article:
         return True
+    return bool(attributes) and name not in ("html", "body", "main") and HIDDEN.search(attributes) is not None
+
+
+def is_hinted(name: str, attributes: str, in_article: bool) -> bool:
+    """By words of class, id and role."""
     if not attributes or name in ("html", "body", "main"):
         return False
-    if HIDDEN.search(attributes):
-        return True
     for m in MARKS.finditer(attributes):
-        marks = (m[1] or m[2] or m[3] or "").lower()
+        marks = STATE.sub(" ", (m[1] or m[2] or m[3] or "").lower())
         if HINT.search(marks) or not in_article and HEADER.search(marks):
             return True
     return False
 
 
+def hints_off(hints: list[list[int]], lines: list[tuple[str, int, bool, int]], outside: bool) -> list[bool]:
+    """Whether each hinted element (the one around it, whether it holds an article or main) is furniture or inside such.
+
+    outside: whether an article or main lies outside of all of them; then hints are right.
+    """
+    held, total = [0] * len(hints), 0
+    for text, weight, _, hint in lines:
+        total += len(text) * (weight > 0)
+        if hint >= 0:
+            held[hint] += len(text) * (weight > 0)
+    for k in range(len(hints) - 1, -1, -1):
+        around, region = hints[k]
+        if around >= 0:
+            held[around] += held[k]
+            hints[around][1] |= region
+    off: list[bool] = []
+    for (around, region), n in zip(hints, held, strict=True):
+        off.append(around >= 0 and off[around] or outside or not (region or 2 * n > total))
+    return off
+
+
 def page_lines(page: str) -> list[tuple[str, int, bool]]:
     """The page's lines: text, weight, whether an article encloses it. ("", -1, False) stands for a region's border."""
     lines: list[tuple[str, int, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, furniture, in an article
+    marked: list[tuple[str, int, bool, int]] = []  # as lines, as if no hint counted; innermost hinted element or -1
+    stack: list[tuple[str, bool, bool, int]] = []  # name, furniture, in an article, innermost hinted element or -1
+    hints: list[list[int]] = []  # hinted element around it or -1, whether it holds an article or main
+    outside = False
     open_: dict[str, int] = {}
     parts: list[str] = []
     linked = links = at = 0
@@ -69,9 +100,9 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                off, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+                _, off, article, hint = stack[-1] if stack else ("", False, False, -1)
                 weight = 0 if off else len(text) if article else max(0, len(text) - linked)
-                lines.append((text, weight, article))
+                marked.append((text, weight, article, hint))
             parts.clear()
         linked = 0
 
@@ -98,12 +129,12 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
             parts.append(" ")
         if m[1]:
             if open_.get(name):
-                off = stack[-1][1]
+                off = stack[-1][1] or stack[-1][3] >= 0
                 if name not in BLOCK and off:  # an inline advert ends inside a block
                     parts and flush()
                 close(name)
                 if name in REGION:
-                    lines.append(("", -1, False))
+                    marked.append(("", -1, False, -1))
             continue
         if name in VOID or m[3].endswith("/") and name in ("svg", "math", "script"):
             continue
@@ -120,18 +151,29 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
                     break
         if name == "body" and open_.get("head"):
             close("head")
-        off, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+        _, off, article, hint = stack[-1] if stack else ("", False, False, -1)
         own = is_furniture(name, m[3], article)
-        if own and not off and name not in BLOCK:
+        hinted = not (off or own) and is_hinted(name, m[3], article)
+        if (own or hinted) and not off and hint < 0 and name not in BLOCK:
             flush()
+        if hinted:
+            hints.append([hint, 0])
+            hint = len(hints) - 1
+        if name in REGION and not (off or own):
+            outside |= hint < 0
+            if hint >= 0:
+                hints[hint][1] = 1
         if name in REGION:
-            lines.append(("", -1, False))
-        stack.append((name, off or own, article or name in REGION and not (off or own)))
+            marked.append(("", -1, False, -1))
+        stack.append((name, off or own, article or name in REGION and not (off or own), hint))
         open_[name] = open_.get(name, 0) + 1
         links += name == "a"
     if at < len(page):
         parts.append(page[at:])
     flush()
+    off = hints_off(hints, marked, outside)
+    for text, weight, article, hint in marked:
+        lines.append((text, 0 if hint >= 0 and off[hint] else weight, article and not (hint >= 0 and off[hint])))
     return lines
 
 

@@ -57,6 +57,15 @@ def test_html():
     assert html_extract.extract(unmarked) == ("word " * 60).strip() + "\n" + ("more " * 60).strip()
 
 
+def test_html_wrappers():
+    text, more = "The story itself goes on. " * 8, "Another reader says so. " * 3
+    for wrapper in ("layout has-sidebar", "content right-sidebar", "col no-sidebar", "post-12 comments-open"):
+        side = f'<div class="sidebar">{more}</div><div class="comments">{more}</div>'
+        for page in (f'<div class="{wrapper}"><article><p>{text}</p></article>{side}</div>', f'<article class="{wrapper}"><p>{text}</p>{side}</article>', f'<div class="{wrapper}"><p>{text}</p>{side}</div>'):
+            assert html_extract.extract(f"<html><body><nav>menu</nav>{page}</body></html>") == text.strip(), page
+    assert html_extract.extract(f'<article><p>Short.</p></article><div class="comments">{text}</div><div class="related"><article>{text}</article></div>') == "Short."
+
+
 def test_html_rows(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "own"), (2, None, None, "own"), (2, None, None, "own")], "page_id long, url string, html string, text string")
     got = html_extract.extract_pages(df).collect()
