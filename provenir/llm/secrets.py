@@ -1,12 +1,13 @@
 """Secret scans in DataFrame expressions only: fixed patterns, and strings that look random to Markov models.
 
 Two first-order character models, one of random strings and one of ordinary identifiers, are trained
-from labelled samples; a string is a secret if its log-likelihood ratio per transition is over a
-threshold. A model is a table of 64 x 64 transition weights, whatever the input.
+from labelled samples; a string is a secret if some stretch of it has a log-likelihood ratio of at least
+EVIDENCE, so that a key is found behind a path or a name. A model is a table of 64 x 64 transition weights, whatever the input.
 
 Training: patterns label the values that they catch as random, plain words are labelled ordinary; both
-come from all documents, each different string once. Generated samples join them: digests in three alphabets, and identifiers of two usual words each. Transitions that a
-label's strings show rarely back off to those between the classes of their signs.
+come from all documents, each different string once. Generated samples join them: digests in three
+alphabets, identifiers of two usual words each, and times. Transitions that a label's strings show
+rarely back off to those between the classes of their signs.
 
 Defined results: a null text counts as empty and has no spans. Spans are in code points with their end
 exclusive; those of one kind don't overlap, those of different kinds may.
@@ -21,11 +22,11 @@ from pyspark.sql import functions as F
 ASSIGN = r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: Base kinds in their order: pattern, group whose length counts, least length. Lengths that a whole match must have are in the pattern where that finds the same matches.
 BASE = (("assign", ASSIGN, 1, 6), ("access", r"(AKIA[A-Z0-9]{16,})", 1, 20), ("hex", r"([0-9a-f]{24,})", 1, 24))
-#: Strings that the models judge: runs of these signs of at least LEAST with a digit and a letter.
-CANDIDATE = r"((?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{16,})"
-LEAST = 16
-#: Least log-likelihood ratio for each transition.
-THRESHOLD = 0.5
+#: Strings that the models judge: runs of at least LEAST of these signs with a letter.
+LEAST = 10
+CANDIDATE = rf"((?<![A-Za-z0-9+/_=-])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{{{LEAST},}})"
+#: Least log-likelihood ratio of a secret's best stretch (README has the measured errors).
+EVIDENCE = 18.0
 #: Generated random strings of each alphabet.
 GENERATED = 1000
 #: Signs are numbered by their place here, all others are 63.
@@ -84,7 +85,9 @@ def training_strings(docs: DataFrame, text_col: str) -> DataFrame:
     made = spark.range(GENERATED).select(F.explode(F.array(digest, F.regexp_replace(F.base64(F.unhex(digest)), "=", ""), F.translate(F.substring(digest, 1, 32), "0123456789abcdef", "QZ3X7JKV5WBYHM2P"))).alias("s"))
     usual = F.array(*map(F.lit, WORDS))
     pairs = spark.range(1).select(F.explode(F.flatten(F.transform(usual, lambda a: F.transform(usual, lambda b: F.array(F.concat(a, F.lit("_"), b), F.concat(a, F.initcap(b), F.lit("2")), F.concat(F.upper(a), F.lit("_"), F.upper(b), F.lit("_1")), F.concat(F.initcap(a), F.initcap(b))))))).alias("four")).select(F.explode("four").alias("s"))
-    return caught.union(plain).union(made.select(F.lit(True), "s")).union(pairs.select(F.lit(False), "s"))
+    day = F.date_add(F.lit("1990-01-01").cast("date"), (F.col("id") * 13).cast("int")).cast("string")
+    times = spark.range(GENERATED).select(F.concat(day, F.lit("T"), F.lpad((F.col("id") % 24).cast("string"), 2, "0")).alias("s"))
+    return caught.union(plain).union(made.select(F.lit(True), "s")).union(pairs.union(times).select(F.lit(False), "s"))
 
 
 def sign_class(k: int) -> int:
@@ -119,10 +122,15 @@ def fit(docs: DataFrame, text_col: str = "text") -> list[float]:
     return [p - q for p, q in zip(log_transitions(counts[True]), log_transitions(counts[False]), strict=True)]
 
 
-def likelihood_ratio(string: Column, model: list[float]) -> Column:
-    """Log-likelihood ratio for each transition of the string."""
+def best_stretch(string: Column, model: list[float]) -> Column:
+    """The highest log-likelihood ratio of a stretch of the string."""
     weights = F.split(F.lit(",".join(f"{x:.6f}" for x in model)), ",").cast("array<double>")
-    return F.aggregate(F.sequence(F.lit(1), F.length(string) - 1), F.lit(0.0), lambda acc, k: acc + F.element_at(weights, transition(string, k))) / (F.length(string) - 1)
+    return F.aggregate(
+        F.sequence(F.lit(1), F.length(string) - 1),
+        F.struct(F.lit(0.0).alias("now"), F.lit(0.0).alias("best")),
+        lambda acc, k: F.struct(F.greatest(F.lit(0.0), acc["now"] + F.element_at(weights, transition(string, k))).alias("now"), F.greatest(acc["best"], acc["now"]).alias("best")),
+        lambda acc: F.greatest(acc["best"], acc["now"]),
+    )
 
 
 def scan_secrets(docs: DataFrame, model: list[float], text_col: str = "text", out: str = "secrets") -> DataFrame:
@@ -131,7 +139,7 @@ def scan_secrets(docs: DataFrame, model: list[float], text_col: str = "text", ou
     base = F.concat(*(matches(text, p, g, n, kind) for kind, p, g, n in BASE))
     both = docs.withColumn("__base", base).withColumn("__random", matches(text, CANDIDATE, 1, LEAST, "random"))
     clear = lambda x: ~F.exists("__base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    added = F.filter("__random", lambda x: clear(x) & (likelihood_ratio(x["value"], model) >= THRESHOLD))
+    added = F.filter("__random", lambda x: clear(x) & (best_stretch(x["value"], model) >= EVIDENCE))
     order = F.create_map(*(F.lit(x) for pair in zip(("assign", "access", "hex", "random"), range(4), strict=True) for x in pair))
     ranked = F.array_sort(F.transform(F.when(F.size("__random") > 0, F.concat("__base", added)).otherwise(F.col("__base")), lambda x: F.struct(x["start"].alias("start"), F.element_at(order, x["kind"]).alias("rank"), x["kind"].alias("kind"), x["end"].alias("end"))))
     return docs_with(both, out, F.transform(ranked, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))))

@@ -106,6 +106,15 @@ def test_secret_models_learn_from_all_documents(spark):
     assert got.where("random and s = 'abcdef123456789'").count() == 1
 
 
+def test_secrets_by_their_best_stretch(spark):
+    key = "Zx9Qk2Lp0VbT7rWcYh31"
+    found = ["bJsKqzRxPwMnVtdLf", "jKqZ8xWv3T", f"/usr/share/config/service/internal/path/{key}", f"some_ordinary_name_of_a_setting={key}"]
+    plain = ["/usr/share/config/service/internal/path/", "internalConfigurationValue", "2024-01-02T03:04:05", "1234567890123456", "ordinarylongwordstogether"]
+    df = spark.createDataFrame(list(enumerate([*found, *plain])), "doc_id long, text string")
+    got = [r.s for r in secrets.scan_secrets(df, secrets.fit(df)).select("doc_id", secrets.joined_spans(F.col("secrets")).alias("s")).sort("doc_id").collect()]
+    assert got == [f"random:0:{len(x)}" for x in found] + [""] * len(plain)
+
+
 def test_redaction(docs):
     model = secrets.fit(docs)
     got = {r.doc_id: r.t for r in secrets.scan_secrets(docs, model).select("doc_id", secrets.redacted(F.col("text"), F.col("secrets")).alias("t")).collect()}
