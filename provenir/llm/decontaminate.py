@@ -1,23 +1,28 @@
 """Benchmark decontamination over a positional inverted index, in DataFrame expressions only.
 
 The index holds token postings (term, document, position). Of a benchmark only some terms are looked
-up: for each window of an item, the one that is rarest in the corpus is its anchor. Subtracting the
-anchor's offset in the item from a posting's position gives the alignment of item and document, and
-the lists of an item's anchors are intersected on (document, item, alignment). What is left is
-compared word by word, which makes phrase matches exact.
-
-Broadcasts: the benchmark's terms, if at most BROADCAST_TERMS (else a shuffled join); a bitmap of
-BITMAP_BITS bits, whatever the input, which keeps the texts of documents without candidates out of the
-last join.
+up first: for each window of an item, the one that is rarest in the corpus is its anchor. Subtracting
+the anchor's offset in the item from a posting's position gives the alignment of item and document, and
+the lists of an item's anchors are intersected on (document, item, alignment): a window is a candidate
+where all anchors inside it are met. A candidate's other words are then looked up in the postings of its
+document, position by position, which makes phrase matches exact. Every step is a join or a window over
+numbers and terms; no row holds a whole item or the cases of a whole document, and no expression sees a
+text twice, whatever a caller filters on.
+
+Broadcasts: tables of the benchmark's terms and windows, if they hold BROADCAST_BYTES at most (else a
+shuffled join, whose skewed partitions adaptive execution splits); a bitmap of documents with candidates,
+sized by their number up to BITMAP_MOST bits, which keeps other documents' postings out of the second
+look-up.
 
 Defined results: null texts have no words; an item without words has no windows; repeated rows are
 rows of their own with equal results, null ids among them; an item with a null id is one like any other
-and a null at the end of `items`; an empty benchmark hits nothing.
+and a null at the end of `items`; an empty benchmark hits nothing, an empty corpus gives no rows; only the
+named columns are read, so that others can't clash.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed
@@ -25,8 +30,9 @@ from .common import checkpointed
 #: A window's words.
 WINDOW = 10
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-BROADCAST_TERMS = 500_000
-BITMAP_BITS = 1 << 20
+BROADCAST_BYTES = 32 << 20
+#: Bits of the documents' bitmap: so many for each document, between these bounds.
+BITMAP_EACH, BITMAP_LEAST, BITMAP_MOST = 16, 1 << 16, 1 << 26
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -46,112 +52,118 @@ def word_count(words: Column) -> Column:
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """A document is its id and its text; repeated rows are one here."""
-    return docs.select(F.col(id_col).alias("d"), F.xxhash64(F.col(text_col)).alias("h"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    """A document is its id and its text, as two hashes: `g` of the id and `h` of the text `t`; repeated rows are one here."""
+    d, t = F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(d.alias("d"), t.alias("t")).select("d", F.xxhash64(F.col("d").isNull(), "d").alias("g"), F.xxhash64("t").alias("h"), "t")
 
 
-def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", terms: DataFrame | None = None) -> DataFrame:
-    """The index: `term`, `d` (id), `h` (hash of the text), `pos` (from 0). terms: a table of the only terms to store, in column term."""
-    found = keyed(docs, id_col, text_col).select("d", "h", F.posexplode(words_between(F.col("t"))).alias("pos", "term"))
+def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", terms: DataFrame | None = None, among: Column | None = None) -> DataFrame:
+    """The index: `term`, `g`, `h` (the document), `pos` (from 0). terms: a table of the only terms to store, in column term, whose rows are joined; among: a condition on h."""
+    own = keyed(docs, id_col, text_col)
+    found = (own if among is None else own.where(among)).select("g", "h", F.posexplode(words_between(F.col("t"))).alias("pos", "term"))
+    # A text that starts with a separator has an empty word there: places shift alike for all of its words.
     return found.where("term <> ''") if terms is None else found.join(sized(terms), "term")
 
 
-def sized(terms: DataFrame) -> DataFrame:
-    """terms, to be broadcast if they are few enough."""
-    return F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms
+def sized(table: DataFrame) -> DataFrame:
+    """table, to be broadcast if its rows hold BROADCAST_BYTES at most: 16 bytes a value, and what terms and arrays hold."""
+    wide = sum((F.coalesce(F.octet_length(c) if kind == "string" else F.size(c) * 8, F.lit(0)) for c, kind in table.dtypes if kind == "string" or kind.startswith("array")), F.lit(16 * len(table.columns)))
+    held = table.agg(F.coalesce(F.sum(wide), F.lit(0)).alias("b")).first().b
+    return F.broadcast(table) if held <= BROADCAST_BYTES else table
 
 
-def windows_of(items: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
-    """`item`, `iw` (its words), `at` (a window's place in them) and `size`, for each window."""
+def item_words(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """`key` (of the item's id and words), `item`, `size` (of its windows' words: see windows), `len`, `q` (place from 0), `term`: a row for each word of the distinct items."""
     words = items.select(F.col(id_col).alias("item"), F.filter(words_between(F.col(text_col)), lambda w: w != "").alias("iw")).where("size(iw) > 0").distinct()
-    size = F.least(F.size("iw"), F.lit(window))
-    return words.select("item", "iw", size.alias("size"), F.explode(F.sequence(F.lit(0), F.size("iw") - size)).alias("at"))
-
-
-def anchored(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str, item_id: str, item_text: str, window: int) -> DataFrame:
-    """For each item with windows whose words all occur in the corpus: `item`, `iw`, `size`, `need` (for each such window its anchors' places), `anchors` (all places), `key` (of id and words)."""
-    spans = windows_of(items, item_id, item_text, window)
-    terms = spans.select(F.explode("iw").alias("term")).distinct()
-    counts = checkpointed(postings(docs, doc_id, doc_text, terms).groupBy("term").agg(F.count("*").alias("n")))
-    places = spans.select("item", "iw", "size", F.posexplode("iw").alias("q", "term")).distinct().join(sized(counts), "term")
-    rarity = places.groupBy("item", "iw", "size").agg(F.map_from_entries(F.collect_list(F.struct("q", "n"))).alias("n"))
-    best = (
-        rarity.select("item", "iw", "size", "n", F.explode(F.sequence(F.lit(0), F.size("iw") - F.col("size"))).alias("at"))
-        .select("item", "iw", "size", "at", F.transform(F.sequence(F.col("at"), F.col("at") + F.col("size") - 1), lambda q: F.struct(F.element_at("n", q).alias("n"), q.alias("q"))).alias("own"))
-        .where(F.forall("own", lambda x: x.n.isNotNull()))
-        .select("item", "iw", "size", "at", F.array_min("own").q.alias("anchor"))
-    )
-    grouped = best.groupBy("item", "iw", "size").agg(F.collect_list("at").alias("ats"), F.collect_set("anchor").alias("anchors"))
-    need = F.transform("ats", lambda at: F.filter("anchors", lambda q: (q >= at) & (q < at + F.col("size"))))
-    return checkpointed(grouped.select("item", "iw", "size", "anchors", F.array_distinct(need).alias("need"), F.xxhash64("item", "iw").alias("key")))
-
-
-def alignments(docs: DataFrame, marked: DataFrame, doc_id: str, doc_text: str) -> DataFrame:
-    """`d`, `h`, `item`, `iw`, `size`, `shift`: where in a document (shift + place in the item) a window may match, by its anchors."""
-    lookup = marked.select("key", "iw", F.explode("anchors").alias("q")).select(F.element_at("iw", F.col("q") + 1).alias("term"), "key", "q")
-    lists = postings(docs, doc_id, doc_text, lookup.groupBy("term").agg(F.collect_list(F.struct("key", "q")).alias("uses")))
-    met = lists.select("d", "h", "pos", F.explode("uses").alias("use")).select("d", "h", F.col("use.key").alias("key"), "use.q", (F.col("pos") - F.col("use.q")).alias("shift"))
-    hit = met.groupBy("d", "h", "key", "shift").agg(F.collect_set("q").alias("met"))
-    whole = F.exists("need", lambda places: F.size(F.array_except(places, F.col("met"))) == 0)
-    return hit.join(sized(marked), "key").where(whole).select("d", "h", "item", "iw", "size", "shift")
+    return words.select(F.xxhash64(F.col("item").isNull(), "item", F.array_join("iw", " ")).alias("key"), "item", F.size("iw").alias("len"), F.posexplode("iw").alias("q", "term"))
+
+
+def anchored(words: DataFrame, counts: DataFrame, window: int) -> DataFrame:
+    """`key`, `at`, `size`, `anchor`, `need`: for each window whose words all occur in the corpus its first place, its words, its rarest word's place, and the places of all anchors inside it."""
+    size = F.least(F.col("len"), F.lit(window))
+    ahead = Window.partitionBy("key").orderBy("q").rowsBetween(0, window - 1)
+    ranked = words.join(sized(counts), "term", "left").select("key", "len", "q", F.col("n").isNotNull().alias("known"), F.struct(F.coalesce("n", F.lit(0)).alias("n"), "q").alias("own"))
+    spans = ranked.select("key", "len", "q", F.count_if("known").over(ahead).alias("known"), F.min("own").over(ahead)["q"].alias("anchor"))
+    best = spans.where((F.col("q") + size <= F.col("len")) & (F.col("known") == size)).select("key", F.col("q").alias("at"), size.alias("size"), "anchor")
+    marks = best.select("key", F.col("anchor").alias("q")).distinct().withColumn("marked", F.lit(True))
+    needs = words.select("key", "q").join(marks, ["key", "q"], "left").select("key", F.col("q").alias("at"), F.collect_list(F.when(F.col("marked"), F.col("q"))).over(ahead).alias("need"))
+    return best.join(needs, ["key", "at"])
+
+
+CASE = ["g", "h", "key", "shift"]
+
+
+def candidates(docs: DataFrame, words: DataFrame, windows: DataFrame, doc_id: str, doc_text: str, window: int) -> DataFrame:
+    """`g`, `h`, `key`, `shift`, `at`, `size`: where in a document (shift + place in the item) a window may stand, by the anchors."""
+    lookup = words.join(windows.select("key", F.col("anchor").alias("q")).distinct(), ["key", "q"]).select("term", "key", "q")
+    met = postings(docs, doc_id, doc_text, lookup).select("g", "h", "key", (F.col("pos") - F.col("q")).alias("shift"), "q")
+    around = Window.partitionBy(CASE).orderBy("q").rangeBetween(1 - window, window - 1)
+    near = met.repartition(*CASE).dropDuplicates([*CASE, "q"]).select(*CASE, "q", F.collect_list("q").over(around).alias("near"))
+    own = windows.withColumnRenamed("anchor", "q")
+    return near.join(sized(own), ["key", "q"]).where(F.size(F.array_except("need", "near")) == 0).select(*CASE, "at", "size")
 
 
 def bitmap(rows: DataFrame) -> Column:
-    """A test of column h against the h of rows: BITMAP_BITS bits, true for all of theirs and few others."""
-    place = F.pmod(F.col("h"), F.lit(BITMAP_BITS))
-    bits = bytearray(BITMAP_BITS // 8)
-    cells = rows.select((place / 8).cast("int").alias("k"), F.expr("shiftleft(1, cast(pmod(h, 8) as int))").alias("b")).groupBy("k").agg(F.bit_or("b").alias("b"))
-    for r in cells.toLocalIterator():
-        bits[r.k] = r.b
-    byte = F.conv(F.hex(F.substring(F.lit(bytes(bits)), (place / 8).cast("int") + 1, 1)), 16, 10).cast("int")
+    """A test of column h against the h of rows: true for all of theirs and few others. Its bits grow with rows up to BITMAP_MOST."""
+    n = rows.count()
+    bits = max(BITMAP_LEAST, min(BITMAP_MOST, 1 << (BITMAP_EACH * max(1, n)).bit_length()))
+    place = F.pmod(F.col("h"), F.lit(bits))
+    held = bytearray(bits // 8)
+    cells = rows.select(F.shiftright(place, 6).alias("k"), F.expr("shiftleft(1L, cast(pmod(h, 64) as int))").alias("b")).groupBy("k").agg(F.bit_or("b").alias("b"))
+    for r in cells.toLocalIterator():  # a bitmap's words: BITMAP_MOST / 64 at most
+        held[r.k * 8 : r.k * 8 + 8] = (r.b & (1 << 64) - 1).to_bytes(8, "little")
+    byte = F.conv(F.hex(F.substring(F.lit(bytes(held)), F.shiftright(place, 3).cast("int") + 1, 1)), 16, 10).cast("int")
     return F.getbit(byte, F.pmod(F.col("h"), F.lit(8)).cast("int")) == 1
 
 
+def occurrences(docs: DataFrame, words: DataFrame, found: DataFrame, doc_id: str, doc_text: str, window: int) -> DataFrame:
+    """`g`, `h`, `key`, `start`, `end` (words of the document): the stretches that windows of an item cover, from candidates whose every word is looked up."""
+    before = F.lag(F.col("at") + F.col("size")).over(Window.partitionBy(CASE).orderBy("at"))
+    wanted = found.dropDuplicates([*CASE, "at"]).withColumn("from", F.greatest("at", F.coalesce(before, F.col("at"))))
+    places = wanted.select(*CASE, "size", F.explode(F.sequence("from", F.col("at") + F.col("size") - 1)).alias("q"))  # each place of a case once
+    asked = places.join(sized(words.select("key", "q", "term")), ["key", "q"]).select(*CASE, "size", "q", (F.col("shift") + F.col("q")).alias("pos"), "term")
+    lists = postings(docs, doc_id, doc_text, words.select("term").distinct(), bitmap(found.select("h").distinct())).distinct()
+    met = asked.join(lists, ["g", "h", "pos", "term"]).select(*CASE, "size", "q")
+    stretch = met.withColumn("run", F.col("q") - F.row_number().over(Window.partitionBy(CASE).orderBy("q")))
+    runs = stretch.groupBy(*CASE, "size", "run").agg(F.min("q").alias("q"), F.count("*").cast("int").alias("n")).where("n >= size")
+    return runs.select("g", "h", "key", (F.col("shift") + F.col("q")).alias("start"), (F.col("shift") + F.col("q") + F.col("n")).alias("end"))
+
+
 def phrase_matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """For each row of docs: doc_id, `n_words`, `n_hit` (words inside an occurrence of a window), `items` (sorted ids as strings of the items with one)."""
-    marked = anchored(docs, items, doc_id, doc_text, item_id, item_text, window)
-    found = checkpointed(alignments(docs, marked, doc_id, doc_text))
-    maybe = bitmap(found)
-    per_doc = found.groupBy(F.col("d").alias("d0"), F.col("h").alias("h0")).agg(F.collect_list(F.struct("item", "iw", "size", "shift")).alias("cases"))
-    rows = keyed(docs, doc_id, doc_text).select("d", "h", word_count(words_between(F.col("t"))).alias("n_words"), F.when(maybe, F.col("t")).alias("t"))
-    joined = rows.join(per_doc, F.col("d").eqNullSafe(F.col("d0")) & (F.col("h") == F.col("h0")), "left")
-    w = F.col("w")
-
-    def occurrences(c: Column) -> Column:
-        """Where in the document the case's windows start."""
-        places = F.sequence(F.lit(0), F.size(c["iw"]) - c["size"])
-        # size(w) besides slice(w): two uses keep the optimizer from moving the split into the lambda
-        same = F.filter(places, lambda at: (c["shift"] + at >= 0) & (c["shift"] + at < F.size(w)) & (F.slice(w, F.greatest(c["shift"] + at + 1, F.lit(1)), c["size"]) == F.slice(c["iw"], at + 1, c["size"])))
-        return F.transform(same, lambda at: c["shift"] + at)
-
-    checked = joined.select("d", "n_words", F.when(F.col("cases").isNotNull(), words_between(F.col("t"))).alias("w"), "cases").select(
-        "d", "n_words", F.filter(F.transform("cases", lambda c: F.struct(c["item"].cast("string").alias("item"), c["size"].alias("size"), occurrences(c).alias("starts"))), lambda x: F.size(x.starts) > 0).alias("hits")
-    )
-    inside = F.array_distinct(F.flatten(F.transform("hits", lambda x: F.flatten(F.transform(x.starts, lambda s: F.sequence(s, s + x.size - 1))))))
-    return checked.select(
-        F.col("d").alias(doc_id),
-        "n_words",
-        F.coalesce(F.size(F.when(F.col("hits").isNotNull(), inside)), F.lit(0)).cast("long").alias("n_hit"),
-        F.coalesce(F.array_sort(F.array_distinct(F.transform("hits", lambda x: x.item))), F.array().cast("array<string>")).alias("items"),
-    )
+    words = checkpointed(item_words(items, item_id, item_text))
+    counts = checkpointed(postings(docs, doc_id, doc_text, words.select("term").distinct()).groupBy("term").agg(F.count("*").alias("n")))
+    windows = checkpointed(anchored(words, counts, window))
+    found = checkpointed(candidates(docs, words, windows, doc_id, doc_text, window))
+    spans = checkpointed(occurrences(docs, words, found, doc_id, doc_text, window))
+    reached = F.max("end").over(Window.partitionBy("g", "h").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1))
+    new = spans.select("g", "h", (F.col("end") - F.greatest("start", F.coalesce(reached, F.col("start")))).alias("new"))  # words that no stretch before has
+    hits = new.groupBy("g", "h").agg(F.sum(F.greatest("new", F.lit(0))).alias("n_hit"))
+    names = words.select("key", F.col("item").cast("string").alias("item")).distinct()
+    hit_items = spans.select("g", "h", "key").distinct().join(sized(names), "key").groupBy("g", "h").agg(F.collect_set("item").alias("named"), F.max(F.col("item").isNull()).alias("unnamed"))
+    listed = F.concat(F.array_sort("named"), F.when(F.col("unnamed"), F.array(F.lit(None).cast("string"))).otherwise(F.array().cast("array<string>")))
+    per_doc = checkpointed(hits.join(hit_items.select("g", "h", listed.alias("items")), ["g", "h"]))
+    rows = keyed(docs, doc_id, doc_text).select("d", "g", "h", word_count(words_between(F.col("t"))).alias("n_words"))
+    none = F.array().cast("array<string>")
+    return rows.join(per_doc, ["g", "h"], "left").select(F.col("d").alias(doc_id), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", none).alias("items"))
 
 
 def proximity_matches(docs: DataFrame, phrases: DataFrame, slop: int, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, item_id, `start`, `end`: a document's spans of at most (distinct words of a phrase + slop) words that hold all of them.
 
-    A span starts at a phrase word and is the shortest from there. Postings of the phrases' words are
-    sorted within a document and phrase; the first posting of each word at or after a start is a
-    running minimum from the end.
+    A span starts at a phrase word and is the shortest from there. Postings of the phrase's words are
+    ordered within a document and phrase; each one sees those of the next (words + slop) places alone.
+    Repeated rows and phrases give their spans once; null and empty texts give none.
     """
-    words = phrases.select(F.col(item_id).alias("item"), F.array_distinct(F.filter(words_between(F.col(item_text)), lambda w: w != "")).alias("iw")).where("size(iw) > 0").distinct()
-    uses = words.select("item", F.size("iw").alias("size"), F.posexplode("iw").alias("q", "term")).groupBy("term").agg(F.collect_list(F.struct("item", "size", "q")).alias("uses"))
-    lists = postings(docs, doc_id, doc_text, uses).select("d", "h", "pos", F.explode("uses").alias("u")).select("d", "h", "pos", "u.item", "u.size", "u.q").distinct()
-    ahead = lists.groupBy("d", "h", "item", "size").agg(F.array_sort(F.collect_list(F.struct("pos", "q"))).alias("own"))
-
-    def covers(x: Column) -> Column:
-        near = F.filter("own", lambda y: (y.pos >= x.pos) & (y.pos < x.pos + F.col("size") + slop))
-        ends = F.transform(F.sequence(F.lit(0), F.col("size") - 1), lambda q: F.array_min(F.transform(F.filter(near, lambda y: y.q == q), lambda y: y.pos)))
-        return F.when(F.forall(ends, lambda e: e.isNotNull()), F.array_max(ends) + 1)
-
-    spans = ahead.select("d", "item", F.explode(F.transform("own", lambda x: F.struct(x.pos.alias("start"), covers(x).alias("end")))).alias("s")).where("s.end is not null")
-    return spans.select(F.col("d").alias(doc_id), F.col("item").alias(item_id), F.col("s.start"), F.col("s.end"))
+    words = item_words(phrases.select(item_id, F.array_join(F.array_distinct(F.filter(words_between(F.col(item_text)), lambda w: w != "")), " ").alias(item_text)), item_id, item_text)
+    uses = words.select("key", "item", "len", "q", "term")
+    ids = keyed(docs, doc_id, doc_text).select("d", "g").distinct()
+    lists = postings(docs, doc_id, doc_text, uses).select("g", "h", "pos", "key", "item", "len", "q").distinct()
+    reach = F.col("len") + slop
+    longest = uses.agg(F.coalesce(F.max("len"), F.lit(1)).alias("n")).first().n + slop
+    ahead = Window.partitionBy("g", "h", "key").orderBy("pos").rangeBetween(0, longest - 1)
+    near = F.filter(F.collect_list(F.struct("pos", "q")).over(ahead), lambda x: x.pos < F.col("pos") + reach)
+    seen = lists.select("g", "h", "item", "pos", "len", near.alias("near"))
+    ends = F.transform(F.sequence(F.lit(0), F.col("len") - 1), lambda q: F.array_min(F.transform(F.filter("near", lambda x: x.q == q), lambda x: x.pos)))
+    spans = seen.select("g", "item", F.col("pos").alias("start"), ends.alias("ends")).where(F.forall("ends", lambda e: e.isNotNull())).select("g", "item", "start", (F.array_max("ends") + 1).alias("end"))
+    return spans.join(ids, "g").select(F.col("d").alias(doc_id), F.col("item").alias(item_id), "start", "end")

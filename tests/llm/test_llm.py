@@ -274,6 +274,28 @@ def test_items_without_id(spark):
     assert got == {1: (12, [None]), 2: (24, ["4", None]), 3: (0, []), None: (12, [None])}
 
 
+def test_decontamination_under_a_filter(spark):
+    rng = np.random.default_rng(3)
+    long = [f"w{x}" for x in rng.integers(0, 900, 20000)]
+    items = [(1, " ".join(long)), (2, " ".join(long[50:62])), (3, "w1 w2")]
+    texts = [(1, " ".join(long)), (2, " ".join(long[300:345])), (3, "x " + " ".join(long[40:70])), (4, " ".join(f"w{x}" for x in rng.integers(0, 900, 3000))), (4, "nothing"), (None, " ".join(long[9:19])), (None, " ".join(long[9:19]))]
+    df, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.phrase_matches(df, bench).where("n_hit > 0")
+    want = [x for x in brute_hits(texts, items) if x[2]]
+    assert sorted(((r.doc_id, r.n_words, r.n_hit, list(r["items"])) for r in found.collect()), key=str) == want and len(want) >= 5
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and plan.count("split(") <= 4  # of the word count alone
+
+
+def test_proximity_edges(spark):
+    docs = spark.createDataFrame([(1, "a b a b"), (1, "a b a b"), (None, "b x a"), (2, ""), (3, None), (4, "a " * 5000 + "b")], "doc_id long, text string")
+    phrases = spark.createDataFrame([(1, "A b"), (2, None), (3, ""), (None, "x a")], "item_id long, text string")
+    got = sorted(map(tuple, decontaminate.proximity_matches(docs, phrases, 1).collect()), key=str)
+    want = [(1, 1, 0, 2), (1, 1, 1, 3), (1, 1, 2, 4), (None, 1, 0, 3), (None, None, 1, 3), (4, 1, 4998, 5001), (4, 1, 4999, 5001)]
+    assert got == sorted(want, key=str)
+    assert decontaminate.proximity_matches(docs.where("doc_id > 9"), phrases, 1).count() == decontaminate.proximity_matches(docs, phrases.where("item_id > 9"), 1).count() == 0
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "red x blue y green"), (2, "red x x x x blue green"), (3, None)], "doc_id long, text string")
     bench = spark.createDataFrame([(1, "green red blue")], "item_id long, text string")
@@ -427,8 +449,7 @@ def test_pipeline(spark, sf_dir):
         assert len(ids) == len(set(ids)) and set(ids) <= kept[-1]
         if name == "near_duplicates":
             rows = sorted(docs.select("doc_id", "text").collect())
-            comp = brute_components([brute_fingerprint(r.text) for r in rows])
-            assert set(ids) == {rows[c].doc_id for c in comp}
+            assert set(ids) == {rows[c].doc_id for c in brute_near_copies([r.text for r in rows])}
         if name == "decontamination":
             bench = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text").collect()]
             assert set(ids) == {d for d, _, hit, _ in brute_hits([tuple(r) for r in docs.select("doc_id", "text").collect()], bench) if not hit}
