@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator, Sequence
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -91,7 +91,9 @@ def checkpoint_root(spark: SparkSession) -> str:
         return base
     if existing := spark.sparkContext.getCheckpointDir():
         return existing
-    base = "file://" + tempfile.mkdtemp(prefix="provenir-")  # tests on one machine only
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    base = "file://" + tempfile.mkdtemp(prefix="provenir-")  # driver and executors are one process
     spark.sparkContext.setCheckpointDir(base)
     return base
 
@@ -103,6 +105,31 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Bytes of a table that may be broadcast.
+BROADCAST_BYTES = 32 << 20
+
+
+def sized(table: DataFrame) -> DataFrame:
+    """table, to be broadcast if its rows hold BROADCAST_BYTES at most: 16 bytes a value, and what terms and arrays hold."""
+    wide = sum((F.coalesce(F.octet_length(c) if kind == "string" else F.size(c) * 16, F.lit(0)) for c, kind in table.dtypes if kind == "string" or kind.startswith("array")), F.lit(16 * len(table.columns)))
+    held = table.agg(F.coalesce(F.sum(wide), F.lit(0)).alias("b")).first().b
+    return F.broadcast(table) if held <= BROADCAST_BYTES else table
+
+
+#: A key is hot if it has more than this part of the rows: there are fewer of them than its inverse, whatever the input.
+HOT = 100_000
+
+
+def split_join(rows: DataFrame, table: DataFrame, key: str, weight: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined with table on key. Hot keys (table's column `weight` counts their rows of `total`) are broadcast, HOT of them at most; all others are shuffled.
+
+    rows should be cheap to read twice; table has each key once. `weight` isn't returned.
+    """
+    hot = F.broadcast(table.where(F.col(weight) * HOT > total).drop(weight))
+    rest = rows.join(hot.select(key), key, "left_anti")
+    return rows.join(hot, key).unionByName(rest.join(table.where(F.col(weight) * HOT <= total).drop(weight), key, how), allowMissingColumns=True)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int) -> tuple[list[str], list[int]]:
     """Texts and labels (0 or 1) of at most `rows` labelled rows, the same for the same tables.
 
@@ -118,6 +145,32 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     return texts, marks
 
 
+#: Elements of a fold's block.
+BLOCK = 64
+
+
+def gathered(parts: Column, state: list[Column], kind: str, step) -> Column:
+    """The arrays that step(state, part) makes from each of the parts, one after another.
+
+    step gives (new state, elements); kind is the elements' type. What is gathered lies in blocks of BLOCK
+    steps: a fold that appends to one array would copy it for each part.
+    """
+    names = [f"s{k}" for k in range(len(state))]
+    none, no_blocks = F.array().cast(f"array<{kind}>"), F.array().cast(f"array<array<{kind}>>")
+    zero = F.struct(*(x.alias(n) for x, n in zip(state, names, strict=True)), no_blocks.alias("blocks"), none.alias("last"))
+
+    def merge(acc: Column, part: Column) -> Column:
+        new, made = step([acc[n] for n in names], part)
+        full = F.size(acc["last"]) >= BLOCK
+        return F.struct(
+            *(x.alias(n) for x, n in zip(new, names, strict=True)),
+            F.when(full, F.concat(acc["blocks"], F.array(acc["last"]))).otherwise(acc["blocks"]).alias("blocks"),
+            F.when(full, made).otherwise(F.concat(acc["last"], made)).alias("last"),
+        )
+
+    return F.aggregate(parts, zero, merge, lambda acc: F.flatten(F.concat(acc["blocks"], F.array(acc["last"]))))
+
+
 def file_system(path: str):
     """pyarrow's file system for path, and the path within it."""
     from pyarrow import fs
