@@ -1,8 +1,8 @@
 """Benchmark decontamination over a positional inverted index, in DataFrame expressions only.
 
 The index holds token postings (term, document, position). Of a benchmark only some terms are looked
-up first: for each window of an item, the one that is rarest in the corpus is its anchor. Subtracting
-the anchor's offset in the item from a posting's position gives the alignment of item and document, and
+up first: for each window of an item, those that are rarest in the corpus are its anchors. Subtracting
+an anchor's offset in the item from a posting's position gives the alignment of item and document, and
 the lists of an item's anchors are intersected on (document, item, alignment): a window is a candidate
 where all anchors inside it are met. A candidate's other words are then looked up in the postings of its
 document, position by position, which makes phrase matches exact. Every step is a join or a window over
@@ -25,12 +25,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, sized
 
 #: A window's words.
 WINDOW = 10
+#: Rarest words of a window that are looked up first.
+ANCHORS = 2
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-BROADCAST_BYTES = 32 << 20
 #: Bits of the documents' bitmap: so many for each document, between these bounds.
 BITMAP_EACH, BITMAP_LEAST, BITMAP_MOST = 16, 1 << 16, 1 << 26
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -65,13 +66,6 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", te
     return found.where("term <> ''") if terms is None else found.join(sized(terms), "term")
 
 
-def sized(table: DataFrame) -> DataFrame:
-    """table, to be broadcast if its rows hold BROADCAST_BYTES at most: 16 bytes a value, and what terms and arrays hold."""
-    wide = sum((F.coalesce(F.octet_length(c) if kind == "string" else F.size(c) * 8, F.lit(0)) for c, kind in table.dtypes if kind == "string" or kind.startswith("array")), F.lit(16 * len(table.columns)))
-    held = table.agg(F.coalesce(F.sum(wide), F.lit(0)).alias("b")).first().b
-    return F.broadcast(table) if held <= BROADCAST_BYTES else table
-
-
 def item_words(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """`key` (of the item's id and words), `item`, `size` (of its windows' words: see windows), `len`, `q` (place from 0), `term`: a row for each word of the distinct items."""
     words = items.select(F.col(id_col).alias("item"), F.filter(words_between(F.col(text_col)), lambda w: w != "").alias("iw")).where("size(iw) > 0").distinct()
@@ -79,13 +73,13 @@ def item_words(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def anchored(words: DataFrame, counts: DataFrame, window: int) -> DataFrame:
-    """`key`, `at`, `size`, `anchor`, `need`: for each window whose words all occur in the corpus its first place, its words, its rarest word's place, and the places of all anchors inside it."""
+    """`key`, `at`, `size`, `anchors`, `need`: for each window whose words all occur in the corpus its first place, its words, its rarest words' places, and the places of all anchors inside it."""
     size = F.least(F.col("len"), F.lit(window))
     ahead = Window.partitionBy("key").orderBy("q").rowsBetween(0, window - 1)
     ranked = words.join(sized(counts), "term", "left").select("key", "len", "q", F.col("n").isNotNull().alias("known"), F.struct(F.coalesce("n", F.lit(0)).alias("n"), "q").alias("own"))
-    spans = ranked.select("key", "len", "q", F.count_if("known").over(ahead).alias("known"), F.min("own").over(ahead)["q"].alias("anchor"))
-    best = spans.where((F.col("q") + size <= F.col("len")) & (F.col("known") == size)).select("key", F.col("q").alias("at"), size.alias("size"), "anchor")
-    marks = best.select("key", F.col("anchor").alias("q")).distinct().withColumn("marked", F.lit(True))
+    spans = ranked.select("key", "len", "q", F.count_if("known").over(ahead).alias("known"), F.transform(F.slice(F.array_sort(F.collect_list("own").over(ahead)), 1, ANCHORS), lambda x: x.q).alias("anchors"))
+    best = spans.where((F.col("q") + size <= F.col("len")) & (F.col("known") == size)).select("key", F.col("q").alias("at"), size.alias("size"), "anchors")
+    marks = best.select("key", F.explode("anchors").alias("q")).distinct().withColumn("marked", F.lit(True))
     needs = words.select("key", "q").join(marks, ["key", "q"], "left").select("key", F.col("q").alias("at"), F.collect_list(F.when(F.col("marked"), F.col("q"))).over(ahead).alias("need"))
     return best.join(needs, ["key", "at"])
 
@@ -95,11 +89,11 @@ CASE = ["g", "h", "key", "shift"]
 
 def candidates(docs: DataFrame, words: DataFrame, windows: DataFrame, doc_id: str, doc_text: str, window: int) -> DataFrame:
     """`g`, `h`, `key`, `shift`, `at`, `size`: where in a document (shift + place in the item) a window may stand, by the anchors."""
-    lookup = words.join(windows.select("key", F.col("anchor").alias("q")).distinct(), ["key", "q"]).select("term", "key", "q")
+    lookup = words.join(windows.select("key", F.explode("anchors").alias("q")).distinct(), ["key", "q"]).select("term", "key", "q")
     met = postings(docs, doc_id, doc_text, lookup).select("g", "h", "key", (F.col("pos") - F.col("q")).alias("shift"), "q")
     around = Window.partitionBy(CASE).orderBy("q").rangeBetween(1 - window, window - 1)
     near = met.repartition(*CASE).dropDuplicates([*CASE, "q"]).select(*CASE, "q", F.collect_list("q").over(around).alias("near"))
-    own = windows.withColumnRenamed("anchor", "q")
+    own = windows.select("key", F.element_at("anchors", 1).alias("q"), "at", "size", "need")  # met at its rarest word
     return near.join(sized(own), ["key", "q"]).where(F.size(F.array_except("need", "near")) == 0).select(*CASE, "at", "size")
 
 
@@ -110,7 +104,7 @@ def bitmap(rows: DataFrame) -> Column:
     place = F.pmod(F.col("h"), F.lit(bits))
     held = bytearray(bits // 8)
     cells = rows.select(F.shiftright(place, 6).alias("k"), F.expr("shiftleft(1L, cast(pmod(h, 64) as int))").alias("b")).groupBy("k").agg(F.bit_or("b").alias("b"))
-    for r in cells.toLocalIterator():  # a bitmap's words: BITMAP_MOST / 64 at most
+    for r in cells.coalesce(1).toLocalIterator():  # a bitmap's words: BITMAP_MOST / 64 at most
         held[r.k * 8 : r.k * 8 + 8] = (r.b & (1 << 64) - 1).to_bytes(8, "little")
     byte = F.conv(F.hex(F.substring(F.lit(bytes(held)), F.shiftright(place, 3).cast("int") + 1, 1)), 16, 10).cast("int")
     return F.getbit(byte, F.pmod(F.col("h"), F.lit(8)).cast("int")) == 1
@@ -129,8 +123,8 @@ def occurrences(docs: DataFrame, words: DataFrame, found: DataFrame, doc_id: str
     return runs.select("g", "h", "key", (F.col("shift") + F.col("q")).alias("start"), (F.col("shift") + F.col("q") + F.col("n")).alias("end"))
 
 
-def phrase_matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """For each row of docs: doc_id, `n_words`, `n_hit` (words inside an occurrence of a window), `items` (sorted ids as strings of the items with one)."""
+def document_hits(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
+    """`g`, `h`, `n_hit`, `items` (see phrase_matches) of the documents with hits, written to the shared folder."""
     words = checkpointed(item_words(items, item_id, item_text))
     counts = checkpointed(postings(docs, doc_id, doc_text, words.select("term").distinct()).groupBy("term").agg(F.count("*").alias("n")))
     windows = checkpointed(anchored(words, counts, window))
@@ -142,7 +136,12 @@ def phrase_matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", do
     names = words.select("key", F.col("item").cast("string").alias("item")).distinct()
     hit_items = spans.select("g", "h", "key").distinct().join(sized(names), "key").groupBy("g", "h").agg(F.collect_set("item").alias("named"), F.max(F.col("item").isNull()).alias("unnamed"))
     listed = F.concat(F.array_sort("named"), F.when(F.col("unnamed"), F.array(F.lit(None).cast("string"))).otherwise(F.array().cast("array<string>")))
-    per_doc = checkpointed(hits.join(hit_items.select("g", "h", listed.alias("items")), ["g", "h"]))
+    return checkpointed(hits.join(hit_items.select("g", "h", listed.alias("items")), ["g", "h"]))
+
+
+def phrase_matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
+    """For each row of docs: doc_id, `n_words`, `n_hit` (words inside an occurrence of a window), `items` (sorted ids as strings of the items with one)."""
+    per_doc = document_hits(docs, items, doc_id, doc_text, item_id, item_text, window)
     rows = keyed(docs, doc_id, doc_text).select("d", "g", "h", word_count(words_between(F.col("t"))).alias("n_words"))
     none = F.array().cast("array<string>")
     return rows.join(per_doc, ["g", "h"], "left").select(F.col("d").alias(doc_id), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", none).alias("items"))
