@@ -1,15 +1,23 @@
 """Toxicity: noisy-channel deobfuscation, then scoring of the restored text.
 
 A character language model (trigrams of letters and word borders) is counted over all documents. A
-word that holds look-alike signs, repeats a letter, or is spelt with gaps becomes a lattice of what
-each sign may stand for, and of where words end in letters spelt with spaces; the Viterbi path of the highest probability under channel
-and language model restores it. Restored words and their beginnings are looked up among markers
-learned from labelled rows, and a logistic layer over a document's markers gives the score.
+text is a lattice: a look-alike sign may stand for its letters, a run of one sign for one or two of
+it, a joint inside a word or a space inside a run of short pieces for a word border or for nothing, and a
+sign at a word's end for nothing. All these are places of one lattice, which is cut at the spaces that
+can only be borders. The Viterbi paths of the highest probability under channel and language model
+(PATHS of them, since a sign like 1 or * leaves several good readings) restore each part; a part without an
+alternative is its own path. Restored words and their beginnings
+are looked up among markers learned from labelled rows, and a logistic layer over a document's markers
+gives the score.
 
 Learning reads a bounded sample of the labelled rows (TRAIN_ROWS, the rows whose id hashes lowest);
-language-model counts and scores cover every row and whole texts. Defined results: a null text
-counts as empty, and a text without markers gets the layer's score for none; ids, labels, lang and
-source are never features.
+language-model counts and scores cover every row and whole texts, in time that is linear in their length.
+Sums don't depend on any order, so that the same tables give the same scores.
+
+Defined results: a null text counts as empty, and a text without markers gets the layer's score for
+none; repeated rows are scored alike, an empty table gives no rows, and without labelled rows every
+score is 0.5; ids, labels, lang and source are never features. Only `keep` and the text are read, so that
+other columns can't clash; a column in keep must not be called as `out`.
 """
 
 from __future__ import annotations
@@ -19,6 +27,7 @@ import re
 import zlib
 from collections.abc import Iterator, Sequence
 from functools import cache, lru_cache
+from operator import itemgetter
 from typing import NamedTuple
 
 import numpy as np
@@ -32,6 +41,8 @@ from .common import append_columns, bounded_batches, field, labelled_sample
 TRAIN_ROWS = 6000
 #: Words that a worker keeps; a full cache starts anew.
 CACHE = 300_000
+#: Likeliest readings of a part that count.
+PATHS = 6
 #: Lengths of word beginnings that can be markers.
 BEGINNINGS = (4, 5, 6, 7)
 #: A marker's least number of toxic rows, least share of them among its rows, and least G statistic.
@@ -47,14 +58,21 @@ LOOKALIKES = {
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 BORDER, REST = 26, 27  # word border, any other letter
 SIZE = 28
-OUTER = re.compile(r"^[\W_]+|[\W_]+$")
 SIGNS = re.escape("".join(LOOKALIKES))
-#: Look-alike signs at a word's ends that may be punctuation instead, and the cost of that.
-OUTSIDE, OUTSIDE_COST = frozenset("!|+({<*#%&"), 0.5
-SPELT = r"(?:[^\W_][._*~-]+){2,}[^\W_]"
-#: A sign, a letter twice, or letters with joints between each two.
-ODD = re.compile(rf"[{SIGNS}]|([^\W\d_])\1|^{SPELT}$")
-JOINT = re.compile(r"[._*~-]+")
+#: What surrounds a word and never stands for a letter.
+AROUND = ".,;:?\"')[]}>`´’“”«»¿¡…_~-=/\\"
+#: Look-alike signs that often are punctuation or joints instead.
+OUTSIDE = frozenset("!|+({<*#%&")
+#: Costs in the channel: one of two readings of a repeated sign, a sign instead of a letter, a joint or gap, a sign at a word's end that is none or that is a digit, a star between letters.
+REPEATED, INSTEAD, JOINT, OUTER, OUTER_DIGIT, STAR = 0.7, 0.5, 0.3, 0.5, 1.5, 1.2
+#: What gives a part more than one path.
+ODD = re.compile(rf"[{SIGNS}]|([^\W\d_])\1|[^\W\d_][._*~-]+[^\W\d_]")
+#: A lattice's places: a repeated letter, look-alike signs, joints and spaces, other letters.
+PLACE = re.compile(rf"(?P<twice>([^\W\d_])\2+)|(?P<sign>([{SIGNS}])\4*)|(?P<plain>(?:(?![{SIGNS}])([^\W\d_])(?!\6))+)|(?P<joint>(?:(?![{SIGNS}])[\W\d_])+)", re.S)
+#: Short pieces with spaces between them: at least three, of one or two signs.
+PIECE = rf"(?:[^\W\d_]|[{SIGNS}]){{1,2}}"
+PIECES = re.compile(rf"(?<!\S)(?:{PIECE}[ \t\n]++){{2,}}{PIECE}(?!\S)")
+SINGLE = re.compile(r"(?<!\S)\S(?!\S)")
 
 
 @cache
@@ -89,97 +107,99 @@ def trigram_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
 
 class Speller:
-    """Restores a word by Viterbi decoding over its lattice."""
+    """Restores a part of a text by Viterbi decoding over its lattice."""
 
     def __init__(self, counts: np.ndarray):
         c = counts.reshape(SIZE, SIZE, SIZE).astype(float)
         low = c.sum(0)  # pairs back up what triples haven't seen
         pair = (low + 0.05) / (low.sum(1, keepdims=True) + 0.05 * SIZE)
-        self.cost = -np.log((c + 4.0 * pair[None]) / (c.sum(2, keepdims=True) + 4.0))
-
-    def lattice(self, word: str) -> list[list[tuple[str, float]]]:
-        """For each place, (letters it may stand for, cost in the channel)."""
-        if re.fullmatch(SPELT, word):
-            word = JOINT.sub("", word)
-        first = next((k for k, c in enumerate(word) if c not in OUTSIDE), len(word))
-        last = next((k for k in range(len(word), 0, -1) if word[k - 1] not in OUTSIDE), 0)
-        out: list[list[tuple[str, float]]] = []
-        k = 0
-        while k < len(word):
-            c, j = word[k], k
-            while j < len(word) and word[j] == c:
-                j += 1
-            if c.isalpha():
-                n = j - k
-                out.append([(c * n, 0.0)] if n == 1 else [(c, 0.7), (c * 2, 0.7)])
+        self.cost = (-np.log((c + 4.0 * pair[None]) / (c.sum(2, keepdims=True) + 4.0))).reshape(-1).tolist()
+
+    def lattice(self, part: str, joined: str = "") -> Iterator[list[tuple[str, float]]]:
+        """The places of a lower-case part, each with what it may stand for and the cost of that in the channel; a space is a border.
+
+        joined: "all" leaves no border inside, "singles" one at each space but those between single signs.
+        """
+        n = len(part)
+        for m in PLACE.finditer(part):
+            if m["plain"]:
+                yield [(m[0], 0.0)]
+            elif m["joint"]:
+                a, b = m.span()
+                alone = (a < 2 or part[a - 2] == " ") and (b > n - 2 or part[b + 1] == " ")
+                if not 0 < a or b == n or joined == "all" or joined == "singles" and (alone or m[0] != " "):
+                    yield [("", JOINT)]
+                else:
+                    yield [("", JOINT), (" ", JOINT)] if not joined else [(" ", JOINT)]
+            elif m["twice"]:
+                yield [(m[0][0], REPEATED), (m[0][0] * 2, REPEATED)]
             else:
-                stands = LOOKALIKES.get(c, "")
-                outside = [("", OUTSIDE_COST)] if k < first or k >= last else []
-                for _ in range(j - k if stands else 0):
-                    out.append([*((x, math.log(len(stands)) + 0.5) for x in stands), *outside])
-            k = j
-        return out
-
-    def restore(self, word: str) -> str:
-        """The likeliest reading of a lower-case word."""
-        return self.decode([self.lattice(word)])
-
-    def spaced(self, signs: Sequence[str]) -> list[str]:
-        """The words of single signs that were spelt with spaces: the likeliest readings and borders."""
-        return self.decode([self.lattice(x) if x.isalpha() else [[(y, math.log(len(LOOKALIKES[x])) + 0.5) for y in LOOKALIKES[x]]] for x in signs if x.isalpha() or x in LOOKALIKES]).split()
-
-    def decode(self, groups: Sequence[list[list[tuple[str, float]]]]) -> str:
-        """The likeliest path through the places of all groups; a word may end between two groups."""
-        best = {(BORDER, BORDER): (0.0, "")}
-        for place in [x for n, group in enumerate(groups) for x in [*([[]] if n else []), *group]]:
-            if not place:
-                ended: dict[tuple[int, int], tuple[float, str]] = {}
-                for (a, b), (cost, text) in best.items():
-                    own = cost + self.cost[a, b, BORDER], text + " "
-                    ended[b, BORDER] = min(own, ended.get((b, BORDER), own))
-                best |= ended
-                continue
-            now: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (cost, text) in best.items():
+                sign, stands = m[0][0], LOOKALIKES[m[0][0]]
+                own = math.log(len(stands)) + INSTEAD
+                out = [(x, own) for x in stands] if len(m[0]) == 1 else [(x * k, own + REPEATED) for x in stands for k in (1, 2)]
+                if m.start() == 0 or m.end() == n or part[m.start() - 1] == " " or part[m.end()] == " ":
+                    out.append(("", OUTER if sign in OUTSIDE else OUTER_DIGIT))
+                elif sign == "*":
+                    out.append(("", STAR))
+                yield out
+
+    def decode(self, places: Iterator[list[tuple[str, float]]]) -> list[str]:
+        """The PATHS likeliest paths, the likeliest first. A state keeps as many, so that time and memory are linear."""
+        cost = self.cost
+        best: dict[int, list[tuple[float, tuple | None]]] = {BORDER * SIZE + BORDER: [(0.0, None)]}  # by the last two signs: costs and paths back
+        for place in places:
+            now: dict[int, list[tuple[float, tuple | None]]] = {}
+            for state, known in best.items():
                 for letters, channel in place:
-                    p, q, total = a, b, cost + channel
-                    for c in letters:
-                        k = ord(c) - 97 if "a" <= c <= "z" else REST
-                        total += self.cost[p, q, k]
-                        p, q = q, k
-                    if (p, q) not in now or (total, text + letters) < now[p, q]:
-                        now[p, q] = total, text + letters
+                    step, at = channel, state
+                    for c in letters[:2] if len(place) == 1 else letters:  # where there is no choice, more signs change nothing
+                        k = BORDER if c == " " else ord(c) - 97 if "a" <= c <= "z" else REST
+                        step += cost[at * SIZE + k]
+                        at = at % SIZE * SIZE + k
+                    if len(place) == 1 and len(letters) > 2:
+                        p, q = (BORDER if c == " " else ord(c) - 97 if "a" <= c <= "z" else REST for c in letters[-2:])
+                        at = p * SIZE + q
+                    own = now.setdefault(at, [])
+                    own += [(before + step, (path, letters) if letters else path) for before, path in known]
+            for own in now.values():
+                if len(own) > 1:
+                    own.sort(key=COST)  # stable, so that equal costs stay in one order
+                    del own[PATHS:]
             best = now
-        return min((cost + self.cost[a, b, BORDER], text) for (a, b), (cost, text) in best.items())[1]
-
-
-def restored_words(text: str, spell, speller: Speller) -> Iterator[str]:
-    """The distinct words of a text as restored: spell(word) for each, and for letters spelt with gaps, joined as one word and as the speller parts them."""
-    words = text.lower().split()
-    yield from map(spell, set(words))
-    sizes = list(map(len, words))
-    if sizes.count(1) >= 3:
-        k = 0
-        while k < len(words):
-            j = k
-            while j < len(words) and sizes[j] == 1 and (words[j].isalnum() or words[j] in LOOKALIKES):
-                j += 1
-            if j - k >= 3:
-                yield spell(".".join(words[k:j]))
-                parts = speller.spaced(words[k:j])
-                if len(parts) > 1:
-                    yield from map(spell, set(parts))
-            k = max(j, k + 1)
-
-
-def plain(word: str, speller: Speller) -> str:
-    """A lower-case word without outer signs, restored where it is odd."""
-    if word.isalpha() and not ODD.search(word):
-        return word
-    core = word.strip(".,;:?\"')[]}>`´’“”«»¿¡…_~-=/\\")  # no sign that may stand for a letter
-    if not ODD.search(core):
-        return OUTER.sub("", core)
-    return speller.restore(core) if any(map(str.isalpha, core)) else core
+        ended = [(total + cost[at * SIZE + BORDER], path) for at, own in best.items() for total, path in own]
+        return list(dict.fromkeys(unwound(path) for _, path in sorted(ended, key=COST)[:PATHS]))
+
+    def readings(self, part: str) -> list[str]:
+        """The words of a lower-case part: of its likeliest paths, of the likeliest ones that join single signs and nothing else, and of the likeliest ones without borders."""
+        if part.isalpha() and not ODD.search(part):
+            return [part]
+        core = part.strip(AROUND)  # no sign that may stand for a letter
+        if not any(map(str.isalpha, core)):
+            return [core] if core else []
+        if not ODD.search(core) and " " not in core:
+            return [core]
+        found = self.decode(self.lattice(core))
+        if any(" " in x for x in found):
+            found += self.decode(self.lattice(core, "singles")) + self.decode(self.lattice(core, "all"))
+        return list(dict.fromkeys(w for x in found for w in x.split()))
+
+
+COST = itemgetter(0)
+
+
+def unwound(path: tuple | None) -> str:
+    out = []
+    while path:
+        path, letters = path
+        out.append(letters)
+    return "".join(reversed(out))
+
+
+def parts(text: str) -> Iterator[str]:
+    """The distinct parts that a text's lattice is cut to: its words, and its runs of short pieces that spaces part."""
+    low = text.lower()
+    yield from dict.fromkeys(low.split())
+    yield from dict.fromkeys(" ".join(m[0].split()) for m in PIECES.finditer(low) if SINGLE.search(m[0]))
 
 
 def beginnings(word: str) -> list[str]:
@@ -197,40 +217,41 @@ class Detector(NamedTuple):
 
 
 class Weights(dict):
-    """From a word as written to its marker weight."""
+    """From a part as written to the highest marker weight of its readings."""
 
     def __init__(self, own: Detector):
         self.own, self.speller = own, Speller(own.counts)
 
-    def __missing__(self, word: str) -> float:
+    def __missing__(self, part: str) -> float:
         if len(self) >= CACHE:
             self.clear()
-        out = self.own.weight(plain(word, self.speller))
-        if len(word) <= 64:
-            self[word] = out
+        out = max(map(self.own.weight, self.speller.readings(part)), default=0.0)
+        if len(part) <= 64:
+            self[part] = out
         return out
 
 
 def evidence(text: str, weights: Weights) -> tuple[float, float]:
-    """(highest marker weight, logarithm of 1 + sum of the weights) of a text's words."""
-    found = [w for w in restored_words(text, weights.__getitem__, weights.speller) if w > 0]
-    return (max(found), math.log1p(sum(found))) if found else (0.0, 0.0)
+    """(highest marker weight, logarithm of 1 + sum of the weights) of a text's parts."""
+    found = [w for w in map(weights.__getitem__, parts(text)) if w > 0]
+    return (max(found), math.log1p(math.fsum(found))) if found else (0.0, 0.0)
 
 
 def learn_markers(texts: Sequence[str], labels: Sequence[int], speller: Speller) -> dict[str, float]:
     """Features of toxic rows with their log-odds. Counts are hashed first, so that memory is bounded."""
     cells = np.zeros((2, HASHED), np.int32)
-    known: dict[str, str] = {}
+    known: dict[str, list[str]] = {}
 
-    def spell(word: str) -> str:
-        if word not in known:
+    def spell(part: str) -> list[str]:
+        if part not in known:
             if len(known) >= CACHE:
                 known.clear()
-            known[word] = plain(word, speller)
-        return known[word]
+            known[part] = speller.readings(part)
+        return known[part]
 
-    def features(text: str) -> set[str]:
-        return {f for w in restored_words(text, spell, speller) if w for f in beginnings(w)}
+    def features(text: str) -> dict[str, None]:
+        """In an order that is the same in every run."""
+        return dict.fromkeys(f for p in parts(text) for w in spell(p) for f in beginnings(w))
 
     rows = [sum(1 for y in labels if y == k) for k in (0, 1)]
     for text, y in zip(texts, labels, strict=True):
