@@ -1,13 +1,16 @@
 """Quality classifier: supervised subword embeddings.
 
 A document is the mean of learned vectors of its words, of their character n-grams (with word borders)
-and of word pairs, all by hashed buckets; a softmax layer over the mean gives the class. Vectors and
-layer are trained together by numpy stochastic gradient descent. For two classes the trained model
-folds to one number for each bucket, so that scoring sums numbers of words, kept in a cache.
+and of one mark for each word that follows itself, all by hashed buckets; a softmax layer over the mean
+gives the class. Vectors and layer are trained together by numpy stochastic gradient descent, with the
+same number of passes whatever the sample. For two classes the trained model folds to one number for
+each bucket, so that scoring sums numbers of words, kept in a table.
 
 Training reads a bounded sample of the labelled rows (TRAIN_ROWS, the rows whose id hashes lowest);
 scoring covers every row and whole texts. Defined results: a null text counts as empty; a text
-without words gets the model's bias; ids, labels, lang and source are never features.
+without words gets the model's bias; repeated rows are scored alike; an empty table gives no rows, and
+without labelled rows every score is 0.5; ids, labels, lang and source are never features. Only `keep` and
+the text are read, so that other columns can't clash; a column in keep must not be called as `out`.
 """
 
 from __future__ import annotations
@@ -27,24 +30,45 @@ from .common import append_columns, field, labelled_sample
 TRAIN_ROWS = 4000
 BUCKETS = 1 << 17
 DIM = 8
-EPOCHS = 2
-#: A small sample is gone over more often, up to so many steps.
-LEAST_STEPS = 8000
+EPOCHS = 16
 RATE = 4.0
 NGRAMS = (3, 4)
-#: Words that a worker keeps; a full cache starts anew.
-CACHE = 300_000
-SAME = "\x00same"  # the pair of a word and itself, whatever the word
-
-
-def bucket(feature: str, buckets: int = BUCKETS) -> int:
-    return zlib.crc32(feature.encode()) % buckets
-
-
-def word_buckets(word: str, buckets: int = BUCKETS) -> list[int]:
-    """Of the word and of its character n-grams."""
-    edged = f"<{word}>"
-    return [bucket("\x01" + word, buckets)] + [bucket(edged[k : k + n], buckets) for n in NGRAMS for k in range(len(edged) - n + 1)]
+#: Words that a worker's table holds, and their signs: a fuller table starts anew before the next text.
+CACHE, CACHE_SIGNS = 300_000, 8 << 20
+#: Signs of words that are hashed at once.
+CHUNK = 1 << 18
+MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = h * MIX
+    return h ^ (h >> np.uint64(29))
+
+
+def hashed(words: Sequence[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, numbers of them) of the words, one after another: of each word's character n-grams by size, and of the word itself."""
+    points = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    starts = np.cumsum(sizes) - sizes
+    owners, places = [], []
+    for n in NGRAMS:
+        own = np.maximum(sizes - n + 1, 0)
+        at = np.repeat(starts - (np.cumsum(own) - own), own) + np.arange(own.sum())
+        h = np.full(len(at), n, np.uint64)
+        for k in range(n):
+            h = mixed(h ^ points[at + k])
+        owners.append(np.repeat(np.arange(len(words)), own))
+        places.append(h)
+    owners.append(np.arange(len(words)))
+    places.append(mixed(np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words)) ^ np.uint64(1 << 40)))
+    owner = np.concatenate(owners)
+    order = np.argsort(owner, kind="stable")
+    return (mixed(np.concatenate(places)) % np.uint64(buckets)).astype(np.int64)[order], np.bincount(owner, minlength=len(words))
+
+
+def same_bucket(buckets: int = BUCKETS) -> int:
+    """The bucket of the mark for a word that follows itself."""
+    return int(hashed(["\x00same"], buckets)[0][-1])
 
 
 class Model(NamedTuple):
@@ -55,47 +79,65 @@ class Model(NamedTuple):
 
     def score(self, text: str, known: WordSums) -> float:
         words = text.split()
-        if not words:
-            z = self.bias
-        else:
-            pairs = list(map(known.__getitem__, words))
-            total = sum(s for s, _ in pairs)
-            n = sum(c for _, c in pairs)
-            same = sum(map(str.__eq__, words, words[1:]))
-            total += same * float(self.weights[bucket(SAME, len(self.weights))])
-            z = total / (n + same) + self.bias
-        return float(1 / (1 + np.exp(-z)))
+        z = self.bias
+        if words:
+            ids = known.ids(words)
+            same = int(np.count_nonzero(ids[1:] == ids[:-1]))
+            z += (float(known.sums[ids].sum()) + same * known.same) / (int(known.counts[ids].sum()) + same)
+        return float(1 / (1 + np.exp(-max(-500.0, min(500.0, z)))))
 
 
-class WordSums(dict):
-    """From a word to (sum of its features' weights, their number)."""
+class WordSums:
+    """A table of words with the sums of their features' weights and their numbers."""
 
     def __init__(self, weights: np.ndarray):
-        self.weights = weights
+        self.weights, self.same = weights, float(weights[same_bucket(len(weights))])
+        self.clear()
+
+    def clear(self) -> None:
+        self.index: dict[str, int] = {}
+        self.signs = 0
+        self.sums, self.counts = np.empty(1024), np.empty(1024, np.int64)
 
-    def __missing__(self, word: str) -> tuple[float, int]:
-        if len(self) >= CACHE:
+    def ids(self, words: Sequence[str]) -> np.ndarray:
+        """The words' places in the table."""
+        if len(self.index) >= CACHE or self.signs >= CACHE_SIGNS:
             self.clear()
-        own = word_buckets(word, len(self.weights))
-        out = float(self.weights[own].sum()), len(own)
-        if len(word) <= 64:
-            self[word] = out
-        return out
+        if new := [w for w in dict.fromkeys(words) if w not in self.index]:
+            self.add(new)
+        return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+
+    def add(self, new: Sequence[str]) -> None:
+        first, n = len(self.index), len(self.index) + len(new)
+        self.index.update(zip(new, range(first, n)))
+        if n > len(self.sums):
+            self.sums, self.counts = (np.resize(x, max(n, 2 * len(x))) for x in (self.sums, self.counts))
+        a = 0
+        while a < len(new):  # no more than CHUNK signs at once, or one word
+            b, signs = a, 0
+            while b < len(new) and (b == a or signs + len(new[b]) <= CHUNK):
+                signs += len(new[b])
+                b += 1
+            own, counts = hashed(new[a:b], len(self.weights))
+            self.sums[first + a : first + b] = np.bincount(np.repeat(np.arange(b - a), counts), self.weights[own], b - a)
+            self.counts[first + a : first + b] = counts
+            self.signs += signs
+            a = b
 
 
 def features(text: str, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, counts) of a text's features."""
     words = text.split()
+    if not words:
+        return np.empty(0, np.int64), np.empty(0)
     counts: dict[str, int] = {}
     for w in words:
         counts[w] = counts.get(w, 0) + 1
-    total: dict[int, int] = {}
-    for w, c in counts.items():
-        for k in word_buckets(w, buckets):
-            total[k] = total.get(k, 0) + c
-    if same := sum(map(str.__eq__, words, words[1:])):
-        total[bucket(SAME, buckets)] = total.get(bucket(SAME, buckets), 0) + same
-    return np.fromiter(total.keys(), np.int64, len(total)), np.fromiter(total.values(), np.float64, len(total))
+    own, sizes = hashed(list(counts), buckets)
+    times = np.repeat(np.fromiter(counts.values(), np.int64, len(counts)), sizes)
+    same = sum(map(str.__eq__, words, words[1:]))
+    ids, place = np.unique(np.append(own, same_bucket(buckets)) if same else own, return_inverse=True)
+    return ids, np.bincount(place, np.append(times, same) if same else times)
 
 
 def train(texts: Sequence[str], labels: Sequence[int], buckets: int = BUCKETS, dim: int = DIM, epochs: int = EPOCHS, rate: float = RATE, seed: int = 7) -> Model:
@@ -108,7 +150,6 @@ def train(texts: Sequence[str], labels: Sequence[int], buckets: int = BUCKETS, d
     bias = np.zeros(2)
     rows = [features(t, buckets) for t in texts]
     y = np.asarray(labels, int)
-    epochs = max(epochs, min(20, LEAST_STEPS // len(rows)))
     step, steps = 0, epochs * len(rows)
     for _ in range(epochs):
         for k in rng.permutation(len(rows)):
