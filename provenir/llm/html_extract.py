@@ -1,19 +1,25 @@
 """Main-text extraction from web pages by line-block distribution.
 
 A page becomes a sequence of lines (one for each block of text). Each line has a weight: its
-characters outside links, or nothing if an enclosing element is page furniture. What only its class,
-id or role calls furniture isn't if it holds the page's articles or most of its text. Sums of the weights
-over a sliding window of lines rise at a surge point, where text starts, and fall to nothing at a
-dive point, where it ends; the lines between them are kept.
-
-Defined results: a null or empty page, or one without text, gives the empty string. White space in a
-block becomes one space, blocks are joined by a newline, repeated blocks stay, and nothing is capped.
+characters, without those in links unless the block is a paragraph or heading, or nothing if an enclosing
+element is page furniture. What only its class, id or role calls furniture isn't if it holds the page's
+articles or most of its text. Sums of the weights over a sliding window of lines rise at a surge point,
+where text starts, and fall to nothing at a dive point, where it ends. The lines from surge to dive are kept
+if the highest sum between them is large enough; so are lines of links among them, while a longer run of those (a
+menu that no mark tells) is a dive. Furniture is never kept. A marked article's text needs no threshold.
+
+Defined results: a null or empty page, or one without text, gives the empty string; repeated pages give the same
+text, an empty table no rows. White space in a block becomes one space, blocks are joined by a newline,
+repeated blocks stay, and nothing is capped: neither a page's length, in which time is linear, nor the depth of its
+elements. Only `keep` and the page are read, so that other columns can't clash.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import deque
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,6 +39,8 @@ BLOCK = frozenset(
 )
 FURNITURE = frozenset("nav footer aside form head button menu dialog label fieldset".split())
 REGION = frozenset("article main".split())
+#: Blocks whose links are part of a text.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 hgroup blockquote pre dd figcaption caption address center".split())
 #: Words of class, id and role attributes that mark furniture.
 HINT = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|adsbygoogle|banners?|sponsor(?:ed|s)?|promos?|promotions?|cookies?|consent|gdpr|notices?|alerts?|popups?|modals?|overlays?|newsletters?|subscribe|subscription|signup|sidebars?|menus?|nav|navbar|navigation|breadcrumbs?|footers?|masthead|topbar|toolbar|comments?|commentlist|disqus|repl(?:y|ies)|respond|responses|related|recommend(?:ed|ations)?|share|sharing|social|widgets?|pagination|pager|skip|login|search|complementary|contentinfo|site-header|page-header|disclaimer)(?=$|[\s_-])"
@@ -63,16 +71,42 @@ def is_hinted(name: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
-def hints_off(hints: list[list[int]], lines: list[tuple[str, int, bool, int]], outside: bool) -> list[bool]:
+class Line(NamedTuple):
+    text: str
+    weight: int
+    furniture: bool
+    article: bool  # whether an article encloses it
+    hint: int = -1  # innermost hinted element
+
+
+#: A region's border: no window reaches over it.
+EDGE = Line("", -1, True, False)
+
+
+class Open(NamedTuple):
+    """An open element."""
+
+    name: str
+    furniture: bool
+    article: bool
+    hint: int
+    block: int  # place of the innermost block on the stack
+
+
+NOTHING = Open("", False, False, -1, -1)
+
+
+def hints_off(hints: list[list[int]], lines: list[Line], outside: bool) -> list[bool]:
     """Whether each hinted element (the one around it, whether it holds an article or main) is furniture or inside such.
 
     outside: whether an article or main lies outside of all of them; then hints are right.
     """
     held, total = [0] * len(hints), 0
-    for text, weight, _, hint in lines:
-        total += len(text) * (weight > 0)
-        if hint >= 0:
-            held[hint] += len(text) * (weight > 0)
+    for x in lines:
+        n = len(x.text) * (x.weight > 0)
+        total += n
+        if x.hint >= 0:
+            held[x.hint] += n
     for k in range(len(hints) - 1, -1, -1):
         around, region = hints[k]
         if around >= 0:
@@ -84,11 +118,10 @@ def hints_off(hints: list[list[int]], lines: list[tuple[str, int, bool, int]], o
     return off
 
 
-def page_lines(page: str) -> list[tuple[str, int, bool]]:
-    """The page's lines: text, weight, whether an article encloses it. ("", -1, False) stands for a region's border."""
-    lines: list[tuple[str, int, bool]] = []
-    marked: list[tuple[str, int, bool, int]] = []  # as lines, as if no hint counted; innermost hinted element or -1
-    stack: list[tuple[str, bool, bool, int]] = []  # name, furniture, in an article, innermost hinted element or -1
+def page_lines(page: str) -> list[Line]:
+    """The page's lines, with EDGE at each border of a region."""
+    lines: list[Line] = []  # as if no hint counted
+    stack: list[Open] = []
     hints: list[list[int]] = []  # hinted element around it or -1, whether it holds an article or main
     outside = False
     open_: dict[str, int] = {}
@@ -100,16 +133,16 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                _, off, article, hint = stack[-1] if stack else ("", False, False, -1)
-                weight = 0 if off else len(text) if article else max(0, len(text) - linked)
-                marked.append((text, weight, article, hint))
+                top = stack[-1] if stack else NOTHING
+                prose = top.article and top.block >= 0 and stack[top.block].name in PROSE
+                lines.append(Line(text, 0 if top.furniture else len(text) if prose else max(0, len(text) - linked), top.furniture, top.article, top.hint))
             parts.clear()
         linked = 0
 
     def close(name: str) -> None:
         nonlocal links
         while stack:
-            top = stack.pop()[0]
+            top = stack.pop().name
             open_[top] -= 1
             links -= top == "a"
             if top == name:
@@ -129,12 +162,12 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
             parts.append(" ")
         if m[1]:
             if open_.get(name):
-                off = stack[-1][1] or stack[-1][3] >= 0
+                off = stack[-1].furniture or stack[-1].hint >= 0
                 if name not in BLOCK and off:  # an inline advert ends inside a block
                     parts and flush()
                 close(name)
                 if name in REGION:
-                    marked.append(("", -1, False, -1))
+                    lines.append(EDGE)
             continue
         if name in VOID or m[3].endswith("/") and name in ("svg", "math", "script"):
             continue
@@ -142,39 +175,59 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
             end = RAW[name].search(page, at)
             at = end.end() if end else len(page)
             continue
-        if name in BLOCK and name != "p" or name == "p":
-            for k in range(len(stack) - 1, max(-1, len(stack) - 12), -1):
-                if stack[k][0] == "p" or name == stack[k][0] == "li":
-                    close(stack[k][0])
-                    break
-                if stack[k][0] in BLOCK:
-                    break
+        if name in BLOCK and stack and (k := stack[-1].block) >= 0 and (stack[k].name == "p" or name == stack[k].name == "li"):
+            close(stack[k].name)
         if name == "body" and open_.get("head"):
             close("head")
-        _, off, article, hint = stack[-1] if stack else ("", False, False, -1)
-        own = is_furniture(name, m[3], article)
-        hinted = not (off or own) and is_hinted(name, m[3], article)
-        if (own or hinted) and not off and hint < 0 and name not in BLOCK:
+        top = stack[-1] if stack else NOTHING
+        hint = top.hint
+        own = is_furniture(name, m[3], top.article)
+        hinted = not (top.furniture or own) and is_hinted(name, m[3], top.article)
+        if (own or hinted) and not top.furniture and hint < 0 and name not in BLOCK:
             flush()
         if hinted:
             hints.append([hint, 0])
             hint = len(hints) - 1
-        if name in REGION and not (off or own):
-            outside |= hint < 0
-            if hint >= 0:
-                hints[hint][1] = 1
         if name in REGION:
-            marked.append(("", -1, False, -1))
-        stack.append((name, off or own, article or name in REGION and not (off or own), hint))
+            if not (top.furniture or own):
+                outside |= hint < 0
+                if hint >= 0:
+                    hints[hint][1] = 1
+            lines.append(EDGE)
+        stack.append(Open(name, top.furniture or own, top.article or name in REGION and not (top.furniture or own), hint, len(stack) if name in BLOCK else top.block))
         open_[name] = open_.get(name, 0) + 1
         links += name == "a"
     if at < len(page):
         parts.append(page[at:])
     flush()
-    off = hints_off(hints, marked, outside)
-    for text, weight, article, hint in marked:
-        lines.append((text, 0 if hint >= 0 and off[hint] else weight, article and not (hint >= 0 and off[hint])))
-    return lines
+    off = hints_off(hints, lines, outside)
+    return [x if x.hint < 0 or not off[x.hint] else Line(x.text, 0, True, False) for x in lines]
+
+
+def segments(weights: list[int], window: int) -> list[tuple[int, int, int]]:
+    """(surge point, dive point, highest window sum) of each stretch of text among lines of these weights; -1 is a border.
+
+    A surge point is a line of weight where no text is going on; the dive point is the line after the last
+    one of weight before a whole window without any, or before a border.
+    """
+    out: list[tuple[int, int, int]] = []
+    surge = dive = -1
+    recent: deque[int] = deque(maxlen=window)  # weights of the window that ends here
+    highest = 0
+    for k, w in enumerate([*weights, -1]):
+        recent.append(max(w, 0))
+        if surge >= 0 and (w < 0 or not any(recent)):
+            out.append((surge, dive, highest))
+            surge = -1
+        if w < 0:
+            recent.clear()
+        elif w > 0:
+            if surge < 0:
+                surge, highest = k, 0
+            dive = k + 1
+        if surge >= 0:
+            highest = max(highest, sum(recent))
+    return out
 
 
 def extract(page: str, window: int = WINDOW, surge: int = SURGE) -> str:
@@ -182,25 +235,11 @@ def extract(page: str, window: int = WINDOW, surge: int = SURGE) -> str:
     if not page:
         return ""
     lines = page_lines(page)
-    article = any(inside and weight > 0 for _, weight, inside in lines)
-    weights = [weight if (inside or not article) else 0 for _, weight, inside in lines]
-    kept: list[tuple[int, int, int]] = []  # first line, line after the last, highest window sum
-    k, n = 0, len(lines)
-    while k < n:
-        if weights[k] <= 0:
-            k += 1
-            continue
-        start, quiet, best, j = k, 0, 0, k
-        while j < n and quiet < window and weights[j] >= 0:  # until a whole window has nothing, or a region ends
-            best = max(best, sum(x for x in weights[j : j + window] if x > 0))
-            quiet = 0 if weights[j] > 0 else quiet + 1
-            j += 1
-        kept.append((start, j, best))
-        k = max(j, k + 1)
-    if not kept:
-        return ""
-    least = 0 if article else min(surge, max(best for *_, best in kept))
-    return "\n".join(lines[i][0] for a, b, best in kept if best >= least for i in range(a, b) if weights[i] > 0)
+    article = any(x.article and x.weight > 0 for x in lines)
+    weights = [x.weight if x.weight < 0 or x.article or not article else 0 for x in lines]
+    found = segments(weights, window)
+    least = 0 if article else min(surge, max((highest for *_, highest in found), default=0))
+    return "\n".join(lines[k].text for a, b, highest in found if highest >= least for k in range(a, b) if not lines[k].furniture and (lines[k].article or not article))
 
 
 def extract_pages(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url"), out: str = "text", window: int = WINDOW, surge: int = SURGE) -> DataFrame:
