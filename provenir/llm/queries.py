@@ -17,19 +17,30 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def base_columns() -> list:
+    """Of column secrets: counts by kind of pattern, and the digest of their spans."""
+    base = F.filter("secrets", lambda x: x["kind"] != "random")
+    count = lambda kind: F.size(F.filter("secrets", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return [count("assign"), count("access"), count("hex"), F.sha2(secrets.joined_spans(base), 256).alias("base_sha256")]
+
+
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     found = secrets.scan_secrets(docs, secrets.fit(docs)).select("doc_id", "secrets")
-    base = F.filter("secrets", lambda x: x["kind"] != "random")
-    count = lambda kind: F.size(F.filter("secrets", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(secrets.joined_spans(base), 256).alias("base_sha256"), secrets.joined_spans(F.col("secrets")).alias("spans"))
+    likely = F.size(F.filter("secrets", lambda x: x["evidence"] >= secrets.EVIDENCE)).cast("long").alias("n_likely")
+    return found.select("doc_id", *base_columns(), secrets.joined_spans(F.col("secrets")).alias("spans"), likely)
+
+
+def secret_base_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can express of op2."""
+    return op2_secret_scans(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
 
 
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     control = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", control), (-7, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
-    made = chat.format_chats(chat.records_of_rows(rows.union(extra), "conv_id", "turn", "role", "text"))
+    made = chat.format_chats(chat.records_of_rows(rows.union(extra), "conv_id", "turn", "role", "text", layouts=chat.KEPT_ROLES))
     back = made.select("conv_id", "formatted", chat.read_back(F.col("formatted")).alias("back"), chat.masked_text(F.col("formatted"), F.col("loss")).alias("masked"))
     lines = F.array_join(F.transform("back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select("conv_id", F.size("back").cast("long").alias("n_turns"), F.sha2(lines, 256).alias("turns_sha256"), F.length("masked").cast("long").alias("loss_chars"), F.sha2("masked", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
@@ -42,6 +53,11 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media_type", "corrected")
 
 
+def media_byte_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can express of op4: lengths, and the digest of the payload as read back."""
+    return op4_media_columns(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "media_bytes")
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return byte_bpe.encode_texts(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), ids=False).drop("exact")
@@ -90,7 +106,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_html_extraction, op2_secret_scans, op3_chat_formatting, op4_media_columns, op5_byte_bpe, op6_decontamination, op7_quality_classifier, op8_simhash, op9_token_files, op10_toxicity, pipeline)
+    named = (op1_html_extraction, op2_secret_scans, op3_chat_formatting, op4_media_columns, op5_byte_bpe, op6_decontamination, op7_quality_classifier, op8_simhash, op9_token_files, op10_toxicity, pipeline, secret_base_columns, media_byte_columns)
     return {f.__name__: f for f in named}
 
 

@@ -1,30 +1,41 @@
 """Secret scans in DataFrame expressions only: fixed patterns, and strings that look random to Markov models.
 
 Two first-order character models, one of random strings and one of ordinary identifiers, are trained
-from labelled samples; a string is a secret if some stretch of it has a log-likelihood ratio of at least
-EVIDENCE, so that a key is found behind a path or a name. A model is a table of 64 x 64 transition weights, whatever the input.
+from labelled samples. The evidence for a string is the log-likelihood ratio of its best stretch, so that a key
+is found behind a path or a name. Every match of a fixed pattern is judged too: it stays a span whatever
+its evidence, which tells a key from a value like `password: changeme`. Other strings are spans with EVIDENCE
+or more. A model is a table of 64 x 64 transition weights, whatever the input.
 
 Training: patterns label the values that they catch as random, plain words are labelled ordinary; both
 come from all documents, each different string once. Generated samples join them: digests in three
 alphabets, identifiers of two usual words each, and times. Transitions that a label's strings show
 rarely back off to those between the classes of their signs.
 
-Defined results: a null text counts as empty and has no spans. Spans are in code points with their end
-exclusive; those of one kind don't overlap, those of different kinds may.
+Folds over matches keep what they have gathered in blocks (gathered), so that a text of many matches takes
+time in proportion to them.
+
+Defined results: a null text counts as empty and has no spans; repeated rows are scanned alike; without
+documents there are no rows, and the models know the generated samples alone. Spans are in code points with
+their end exclusive; those of one kind don't overlap, those of different kinds may. A column that is called
+as `out` is replaced, all others stay.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import gathered
+
 ASSIGN = r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
-#: Base kinds in their order: pattern, group whose length counts, least length. Lengths that a whole match must have are in the pattern where that finds the same matches.
-BASE = (("assign", ASSIGN, 1, 6), ("access", r"(AKIA[A-Z0-9]{16,})", 1, 20), ("hex", r"([0-9a-f]{24,})", 1, 24))
+#: Base kinds in their order: pattern, whether its group is the value (else the whole match), least length of that. Lengths that a whole match must have are in the pattern where that finds the same matches.
+BASE = (("assign", ASSIGN, True, 6), ("access", r"AKIA[A-Z0-9]{16,}", False, 20), ("hex", r"[0-9a-f]{24,}", False, 24))
 #: Strings that the models judge: runs of at least LEAST of these signs with a letter.
 LEAST = 10
-CANDIDATE = rf"((?<![A-Za-z0-9+/_=-])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{{{LEAST},}})"
+CANDIDATE = rf"(?<![A-Za-z0-9+/_=-])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{{{LEAST},}}"
 #: Least log-likelihood ratio of a secret's best stretch (README has the measured errors).
 EVIDENCE = 18.0
 #: Generated random strings of each alphabet.
@@ -39,28 +50,22 @@ BACKOFF = 8.0
 SPANS = "array<struct<kind:string,start:int,end:int,value:string>>"
 
 
-def matches(text: Column, pattern: str, group: int, least: int, kind: str) -> Column:
-    """array<struct<kind, start, end, value>> of the pattern's leftmost non-overlapping matches whose group has `least` signs or more.
+def matches(text: Column, pattern: str, grouped: bool, least: int, kind: str) -> Column:
+    """array<struct<kind, start, end, value>> of the pattern's leftmost non-overlapping matches whose value has `least` signs or more.
 
     What lies between the matches and the matches themselves alternate, so that lengths add up to places.
     """
     between = F.transform(F.split(text, pattern), lambda x: F.length(x))
     whole = F.regexp_extract_all(text, F.lit(f"({pattern})"), 1)
-    value = F.regexp_extract_all(text, F.lit(pattern), group)
-    parts = F.arrays_zip(between.alias("gap"), whole.alias("m"), value.alias("v"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
-    walked = F.aggregate(
-        F.filter(parts, lambda p: p["m"].isNotNull()),
-        start,
-        lambda acc, p: F.struct(
-            (acc["at"] + p["gap"] + F.length(p["m"])).alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + p["gap"]).alias("start"), (acc["at"] + p["gap"] + F.length(p["m"])).alias("end"), p["v"].alias("value")))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    kept = F.filter(walked, lambda x: F.length(x["value"]) >= least)
-    found = F.transform(kept, lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value")))
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(SPANS))
+    parts = F.filter(F.arrays_zip(between.alias("gap"), whole.alias("m")), lambda p: p["m"].isNotNull())
+
+    def step(state: list[Column], p: Column):
+        start = state[0] + p["gap"]
+        end = start + F.length(p["m"])
+        return [end], F.array(F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), (F.regexp_extract(p["m"], pattern, 1) if grouped else p["m"]).alias("value")))
+
+    found = gathered(parts, [F.lit(0)], SPANS[6:-1], step)
+    return F.when(text.rlike(pattern), F.filter(found, lambda x: F.length(x["value"]) >= least)).otherwise(F.array().cast(SPANS))
 
 
 def numbers() -> Column:
@@ -133,35 +138,54 @@ def best_stretch(string: Column, model: list[float]) -> Column:
     )
 
 
+RANKS = ("assign", "access", "hex", "random")
+
+
 def scan_secrets(docs: DataFrame, model: list[float], text_col: str = "text", out: str = "secrets") -> DataFrame:
-    """docs with `out`: array<struct<kind, start, end>> sorted by start, then kind (assign, access, hex, random)."""
+    """docs with `out`: array<struct<kind, start, end, evidence>> sorted by start, then kind (assign, access, hex, random).
+
+    evidence is the highest log-likelihood ratio of a stretch of the span's value.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = F.concat(*(matches(text, p, g, n, kind) for kind, p, g, n in BASE))
-    both = docs.withColumn("__base", base).withColumn("__random", matches(text, CANDIDATE, 1, LEAST, "random"))
-    clear = lambda x: ~F.exists("__base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    added = F.filter("__random", lambda x: clear(x) & (best_stretch(x["value"], model) >= EVIDENCE))
-    order = F.create_map(*(F.lit(x) for pair in zip(("assign", "access", "hex", "random"), range(4), strict=True) for x in pair))
-    ranked = F.array_sort(F.transform(F.when(F.size("__random") > 0, F.concat("__base", added)).otherwise(F.col("__base")), lambda x: F.struct(x["start"].alias("start"), F.element_at(order, x["kind"]).alias("rank"), x["kind"].alias("kind"), x["end"].alias("end"))))
-    return docs_with(both, out, F.transform(ranked, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))))
+    all_ = f"__found_{uuid.uuid4().hex}"
+    order = F.create_map(*(F.lit(x) for pair in zip(RANKS, range(len(RANKS)), strict=True) for x in pair))
+    found = F.concat(*(matches(text, p, g, n, kind) for kind, p, g, n in BASE), matches(text, CANDIDATE, False, LEAST, "random"))
+    ranked = F.array_sort(F.transform(found, lambda x: F.struct(x["start"].alias("start"), F.element_at(order, x["kind"]).alias("rank"), x["kind"].alias("kind"), x["end"].alias("end"), x["value"].alias("value"))))
+    judged = F.transform(clear_of_base(ranked), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), best_stretch(x["value"], model).alias("evidence")))
+    return docs.withColumn(all_, judged).withColumn(out, F.filter(all_, lambda x: (x["kind"] != "random") | (x["evidence"] >= EVIDENCE))).drop(all_)
+
+
+def clear_of_base(ranked: Column) -> Column:
+    """ranked (sorted by start, base kinds first) without the spans of kind random that overlap a base span: one walk for those before, one back for those after."""
+    kind = "struct<start:int,rank:int,kind:string,end:int,value:string>"
+    none = F.array().cast(f"array<{kind}>")
+    random = lambda x: x["rank"] == len(BASE)
 
+    def after(state: list[Column], x: Column):
+        return [F.when(random(x), state[0]).otherwise(F.greatest(state[0], x["end"]))], F.when(random(x) & (state[0] > x["start"]), none).otherwise(F.array(x))
 
-def docs_with(both: DataFrame, out: str, spans: Column) -> DataFrame:
-    return both.withColumn(out, spans).drop("__base", "__random")
+    def before(state: list[Column], x: Column):
+        return [F.when(random(x), state[0]).otherwise(F.least(state[0], x["start"]))], F.when(random(x) & (state[0] < x["end"]), none).otherwise(F.array(x))
+
+    return F.reverse(gathered(F.reverse(gathered(ranked, [F.lit(-1)], kind, after)), [F.lit(2**31 - 1)], kind, before))
 
 
 def redacted(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
-    """text with each span, or run of spans that overlap, replaced by the mask."""
-    whole = F.coalesce(text, F.lit(""))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    walked = F.aggregate(
-        spans,
-        start,
-        lambda acc, x: F.struct(
-            F.greatest(acc["at"], x["end"]).alias("at"),
-            F.when(x["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.substring(whole, acc["at"] + 1, x["start"] - acc["at"]), F.lit(mask))).alias("out"),
-        ),
-    )
-    return F.when(F.size(spans) == 0, text).otherwise(F.concat(walked["out"], F.substring(whole, walked["at"] + 1, F.length(whole))))
+    """text with each span, or run of spans that overlap, replaced by the mask.
+
+    Pieces are cut from four bytes a code point, so that each takes time by its own length.
+    """
+    closing = F.struct(F.length(text).alias("start"), F.length(text).alias("end"), F.lit("").alias("mask"))
+    parts = F.concat(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(mask).alias("mask"))), F.array(closing))
+
+    def step(state: list[Column], x: Column):
+        at, raw = state
+        piece = F.decode(F.substring(raw, at * 4 + 1, (x["start"] - at) * 4), "UTF-32")
+        made = F.when((x["start"] < at) & (x["mask"] != ""), F.array().cast("array<string>")).otherwise(F.array(piece, x["mask"]))
+        return [F.greatest(at, x["end"]), raw], made
+
+    walked = gathered(parts, [F.lit(0), F.encode(text, "UTF-32")], "string", step)
+    return F.when(F.size(spans) == 0, text).otherwise(F.array_join(walked, ""))
 
 
 def joined_spans(spans: Column) -> Column:
