@@ -11,7 +11,9 @@ and the first sign of every control string (<|, <s>, </s>, [INST], [/INST], <<SY
 
 Defined results: null texts and roles are empty; a record of an unknown fingerprint has null turns
 (and is reported by its fingerprint), one without turns the empty string; equal turn numbers are
-ordered by role, then text, null first.
+ordered by role, then text, null first; repeated rows are turns of their own; rows without an id are one
+conversation, that of the null id; an empty table gives no rows. A conversation is one row, as a record is, so
+that its length is bounded by a row's. format_chats replaces columns that are called as those it adds, others stay.
 """
 
 from __future__ import annotations
@@ -19,10 +21,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import gathered
+
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 #: What follows the first sign of a control string.
 CONTROL = r"([<\[])(?=\||/?s>|/?INST\]|</?SYS>>|unk>|pad>)"
 TURNS = "array<struct<role:string,text:string>>"
+LOSS = "array<struct<start:int,end:int>>"
 
 #: List layouts: path of the list, field of the role, field of the text.
 LISTS = (
@@ -116,16 +121,15 @@ def unescaped(text: Column) -> Column:
 
 def formatted(turns: Column, masked: str = "assistant") -> Column:
     """struct<text, loss>: the template's output and the spans (code points, end exclusive) of the masked role's texts in it."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("loss"))
     marked = F.transform(turns, lambda t: F.struct(F.concat(F.lit(TURN), escaped(t["role"]), F.lit(TEXT)).alias("head"), escaped(t["text"]).alias("text"), t["role"].alias("role")))
 
-    def walk(acc: Column, t: Column) -> Column:
-        first = acc["at"] + F.length(t["head"])
+    def step(state: list[Column], t: Column):
+        first = state[0] + F.length(t["head"])
         last = first + F.length(t["text"])
-        span = F.when(t["role"] == masked, F.array(F.struct(first.alias("start"), last.alias("end")))).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
-        return F.struct((last + len(END)).alias("at"), F.concat(acc["loss"], span).alias("loss"))
+        span = F.when(t["role"] == masked, F.array(F.struct(first.alias("start"), last.alias("end")))).otherwise(F.array().cast(LOSS))
+        return [last + len(END)], span
 
-    return F.struct(F.array_join(F.transform(marked, lambda t: F.concat(t["head"], t["text"], F.lit(END))), "").alias("text"), F.aggregate(marked, start, walk)["loss"].alias("loss"))
+    return F.struct(F.array_join(F.transform(marked, lambda t: F.concat(t["head"], t["text"], F.lit(END))), "").alias("text"), gathered(marked, [F.lit(0)], LOSS[6:-1], step).alias("loss"))
 
 
 def read_back(text: Column) -> Column:
@@ -136,15 +140,28 @@ def read_back(text: Column) -> Column:
 
 
 def masked_text(text: Column, loss: Column) -> Column:
-    """What stands under the loss mask, unescaped, nothing between."""
-    return F.array_join(F.transform(loss, lambda s: unescaped(F.substring(text, s["start"] + 1, s["end"] - s["start"]))), "")
+    """What stands under the loss mask, unescaped, nothing between. Pieces are cut from four bytes a code point, so that each takes time by its own length."""
+    pieces = gathered(loss, [F.encode(text, "UTF-32")], "string", lambda state, s: (state, F.array(unescaped(F.decode(F.substring(state[0], s["start"] * 4 + 1, (s["end"] - s["start"]) * 4), "UTF-32")))))
+    return F.array_join(pieces, "")
+
+
+#: Layouts of role fields, which keep roles as they are.
+KEPT_ROLES = (("messages", "role", "content"), ("messages", "role", "text"), ("conversation", "role", "content"), ("turns", "role", "text"))
 
 
-def records_of_rows(rows: DataFrame, id_col: str, turn: str, role: str, text: str, out: str = "record") -> DataFrame:
-    """One VARIANT record of the messages layout for each id, from rows by turn. A conversation is gathered whole, as its record is."""
+def records_of_rows(rows: DataFrame, id_col: str, turn: str, role: str, text: str, out: str = "record", layouts: tuple[tuple[str, str, str], ...] = KEPT_ROLES[:1]) -> DataFrame:
+    """One VARIANT record for each id, from rows by turn; its layout is one of `layouts`, by the id's hash. A conversation is gathered whole, as its record is."""
     turns = rows.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct(F.col(turn).alias("n"), F.coalesce(F.col(role), F.lit("")).alias("r"), F.coalesce(F.col(text), F.lit("")).alias("t")))).alias("__turns"))
-    messages = F.transform("__turns", lambda x: F.struct(x["r"].alias("role"), x["t"].alias("content")))
-    return turns.select(id_col, F.to_variant_object(F.struct(messages.alias("messages"))).alias(out))
+
+    def laid_out(path: str, r: str, t: str) -> Column:
+        return F.to_variant_object(F.struct(F.transform("__turns", lambda x: F.struct(x["r"].alias(r), x["t"].alias(t))).alias(path)))
+
+    made = [laid_out(*x) for x in layouts]
+    number = F.pmod(F.xxhash64(id_col), F.lit(len(made)))
+    record = made[0]
+    for k, own in enumerate(made[1:], 1):
+        record = F.when(number == k, own).otherwise(record)
+    return turns.select(id_col, record.alias(out))
 
 
 def format_chats(records: DataFrame, record: str = "record") -> DataFrame:
