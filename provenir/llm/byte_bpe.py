@@ -7,7 +7,9 @@ automaton. Functions compose associatively, and the few that compositions can gi
 that a scan over table look-ups finds the state at each position, and states tell where tokens start.
 The slices go through a cache to the pair merger; token lengths are retained as offsets for decoding.
 
-Defined results: a null text counts as empty and has no tokens; every UTF-8 text decodes to itself.
+Defined results: a null text counts as empty and has no tokens; every UTF-8 text decodes to itself; repeated
+rows give the same ids, an empty table no rows. Only `keep` and the text are read, so that other columns can't
+clash. Arrays of the scan cover SCAN code points, however long a text is.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ from .common import append_columns, field
 CACHE = 300_000
 #: Code points that one scan covers, so that memory is bounded.
 SCAN = 1 << 20
+#: Code points after a symbol's own that can decide it.
+AHEAD = 2
 #: Scans run over columns of so many positions.
 COLUMN = 64
 
@@ -138,8 +142,12 @@ def scan(elements: np.ndarray) -> np.ndarray:
     return look_up((scan(f) << 4)[None, :] | before, compose).T.reshape(-1)[:n]
 
 
-def token_starts(points: np.ndarray, borders: np.ndarray) -> np.ndarray:
-    """Where tokens start in an array of code points; borders: places of separators, each alone between texts."""
+def token_starts(points: np.ndarray, borders: np.ndarray, n: int, carry: int) -> tuple[np.ndarray, int]:
+    """Where tokens start in the first n of an array of code points, and the function of all up to there.
+
+    borders: places of separators, each alone between texts; carry: the function of what is before; what
+    follows the first n (AHEAD, or nothing at the end) is only looked at.
+    """
     table = tables()
     kind = classes()[points]
     symbol = look_up(kind, bytes([S_LETTER, S_NUMBER, S_WHITE, S_WHITE, S_OTHER]).ljust(256, b"\0")).copy()
@@ -155,8 +163,23 @@ def token_starts(points: np.ndarray, borders: np.ndarray) -> np.ndarray:
         e_or_l = ((p1 == ord("r")) | (p1 == ord("v"))) & (p2 == ord("e")) | (p1 == ord("l")) & (p2 == ord("l"))
         symbol[marks[e_or_l]] = S_LONG
     symbol[borders] = S_BORDER
-    state = look_up(scan(look_up(symbol, table.function)), table.state)
-    return np.flatnonzero(look_up(state << 4 | symbol, table.start))
+    symbol = symbol[:n]
+    function = look_up(symbol, table.function)
+    before = look_up(scan(function) | carry << 4, table.compose)
+    if len(before):
+        carry = table.compose[int(before[-1]) << 4 | int(function[-1])]
+    return np.flatnonzero(look_up(look_up(before, table.state) << 4 | symbol, table.start)), carry
+
+
+def all_starts(line: str, borders: np.ndarray) -> np.ndarray:
+    """Where tokens start in a line of any length, SCAN code points at a time; the composition of all functions before is carried on."""
+    out, carry = [], 0
+    for k in range(0, len(line), SCAN):
+        points = np.frombuffer(line[k : k + SCAN + AHEAD].encode("utf-32-le"), np.uint32)
+        own = borders[np.searchsorted(borders, k) : np.searchsorted(borders, k + len(points))] - k
+        at, carry = token_starts(points, own, min(SCAN, len(line) - k), carry)
+        out.append(at + k)
+    return np.concatenate(out)
 
 
 def pre_tokenize(batch: Sequence[str]) -> list[list[str]]:
@@ -171,7 +194,7 @@ def pre_tokenize(batch: Sequence[str]) -> list[list[str]]:
         line = "\n".join(batch[k:j]) + "\n"
         lengths = np.fromiter(map(len, batch[k:j]), np.int64, j - k)
         borders = np.cumsum(lengths + 1) - 1
-        at = token_starts(np.frombuffer(line.encode("utf-32-le"), np.uint32), borders)
+        at = all_starts(line, borders)
         bounds = at.tolist()
         pieces = [line[a:b] for a, b in zip(bounds, bounds[1:])]
         places = np.searchsorted(at, borders).tolist()  # a border is a token of its own
