@@ -7,7 +7,9 @@ first word and of its first id, for each document its id and its number of ids,
 the documents. Blocks hold whole documents, so that a document is read from its own block.
 
 Defined results: a null text counts as empty and holds the end id alone; repeated rows and ids are
-written each; a table without rows writes no ids.
+written each; rows without an id come first, and the file counts them; rows of equal ids are ordered by their
+texts' hashes, so that many of them are dealt to several files; a table without rows writes no ids. Ids are
+numbers of 64 bits at most: others raise. Only the id and the text are read, so that other columns can't clash.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import types as T
 
 from .common import bounded_batches, checkpointed, file_system, shared_dir
 
-MAGIC = b"S8BTOK01"
+MAGIC = b"S8BTOK02"
 #: Ids that one word holds and bits of each, by selector; selector 0 is the escape, 15 isn't used.
 COUNTS = np.array([0, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 0])
 WIDTHS = np.array([0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 0])
@@ -180,13 +182,15 @@ class Writer:
         self.out = self.fs.open_output_stream(self.path)
         self.out.write(MAGIC)
         self.docs: list[int] = []
+        self.unnamed = 0  # documents without an id: the first ones
         self.sizes: list[int] = []
         self.blocks: list[tuple[int, int, int]] = []  # first word, first id, first document
         self.words = self.ids = self.held = 0
         self.pending: list[bytes] = []
 
-    def add(self, doc: int, ids: bytes) -> None:
-        self.docs.append(doc)
+    def add(self, doc: int | None, ids: bytes) -> None:
+        self.unnamed += doc is None
+        self.docs.append(doc or 0)
         self.sizes.append(len(ids) // 4)
         self.pending.append(ids)
         self.held += len(ids) // 4
@@ -205,18 +209,18 @@ class Writer:
     def close(self) -> None:
         self.flush()
         self.out.write(np.array(self.blocks, "<i8").tobytes() + np.array(self.docs, "<i8").tobytes() + np.array(self.sizes, "<i8").tobytes())
-        self.out.write(struct.pack("<QQQ8s", len(self.blocks), len(self.docs), self.words, MAGIC))
+        self.out.write(struct.pack("<QQQQ8s", len(self.blocks), len(self.docs), self.unnamed, self.words, MAGIC))
         self.out.close()
         self.fs.move(self.path, self.final)
 
 
-def read_file(path: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(document ids, numbers of ids, ids) of each block."""
+def read_file(path: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(document ids, whether they have one, numbers of ids, ids) of each block."""
     fs, base = file_system(path)
     with fs.open_input_file(base) as f:
         size = f.size()
-        f.seek(size - 32)
-        n_blocks, n_docs, n_words, magic = struct.unpack("<QQQ8s", f.read(32))
+        f.seek(size - 40)
+        n_blocks, n_docs, unnamed, n_words, magic = struct.unpack("<QQQQ8s", f.read(40))
         if magic != MAGIC:
             raise ValueError(f"{path} is no token file")
         f.seek(8 + 8 * n_words)
@@ -227,11 +231,11 @@ def read_file(path: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         f.seek(8)
         for (word, _, doc), last_word, last_doc in zip(blocks.tolist(), *(x.tolist() for x in ends), strict=True):
             words = np.frombuffer(f.read(8 * (last_word - word)), "<u8")
-            yield docs[doc:last_doc], sizes[doc:last_doc], unpack(words)
+            yield docs[doc:last_doc], np.arange(doc, last_doc) >= unnamed, sizes[doc:last_doc], unpack(words)
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write the ids of all documents in ascending order of id_col (null ids first, as -2**63; equal ids by text).
+    """Write the ids of all documents in ascending order of id_col (null ids first; equal ids by the text's hash).
 
     One file for each range of ids. Returns a row for each file: `file`, `path`, `ids`, `docs`; the ids of
     file k come before those of file k + 1. A task that runs again replaces its own file.
@@ -253,8 +257,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int,
             writer.close()
             yield pa.RecordBatch.from_pylist([{"file": task.partitionId(), "path": f"{folder}/tokens-{task.partitionId():06d}.s8b", "ids": writer.ids, "docs": len(writer.docs)}])
 
-    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("__id"), F.col(text_col).alias("__text"))
-    ordered = base.repartitionByRange("__id").sortWithinPartitions("__id", "__text")
+    base = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text")).withColumn("__hash", F.xxhash64("__text"))
+    ordered = base.repartitionByRange("__id", "__hash").sortWithinPartitions("__id", "__hash", "__text").select("__id", "__text")
     return checkpointed(ordered.mapInArrow(write, "file long, path string, ids long, docs long"))
 
 
@@ -274,12 +278,12 @@ def read_token_files(files: DataFrame, id_col: str = "doc_id") -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for docs, sizes, ids in read_file(path):
+                for docs, named, sizes, ids in read_file(path):
                     raw, cuts = ids.astype("<u4").tobytes(), (np.cumsum(sizes) * 4).tolist()
                     crc = [zlib.crc32(raw[a:z]) for a, z in zip([0, *cuts], cuts)]
                     starts = at + np.cumsum(sizes) - sizes
                     at += len(ids)
-                    own = pa.array([None if d == -(1 << 63) else d for d in docs.tolist()], pa.int64())
+                    own = pa.array(docs, pa.int64(), mask=~named)
                     yield pa.RecordBatch.from_arrays([own, pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(crc, pa.int64())], names=[id_col, "start", "n_tokens", "ids_crc32"])
 
     listed = spark.createDataFrame(rows, "path string, before long").repartition(len(rows))
