@@ -1,7 +1,10 @@
 """Each operator against brute force on small tables, with nulls, empty and long texts, ties, repeated rows, empty tables and columns of clashing names."""
 
 import hashlib
+import itertools
+import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -66,6 +69,63 @@ def test_html_wrappers():
     assert html_extract.extract(f'<article><p>Short.</p></article><div class="comments">{text}</div><div class="related"><article>{text}</article></div>') == "Short."
 
 
+def brute_segments(weights, window):
+    """Lines that a stretch of text covers: those with weight within `window` lines on both sides (or their own), borders apart; and the highest sum of its windows."""
+    out, k = [], 0
+    while k < len(weights):
+        if weights[k] < 0:
+            k += 1
+            continue
+        end = next((j for j in range(k, len(weights)) if weights[j] < 0), len(weights))
+        heavy = [j for j in range(k, end) if weights[j] > 0]
+        groups = []
+        for j in heavy:
+            if groups and j - groups[-1][-1] <= window:
+                groups[-1].append(j)
+            else:
+                groups.append([j])
+        for g in groups:
+            sums = [sum(weights[j : j + window]) for j in range(max(k, g[0] - window + 1), g[-1] + 1) if j + window <= end] + [sum(weights[max(k, end - window) : end])] * (g[-1] >= end - window)
+            sums += [sum(weights[k:j]) for j in range(k + 1, min(k + window, end) + 1) if g[0] < j]
+            out.append((g[0], g[-1] + 1, max(sums)))
+        k = end
+    return out
+
+
+def test_segments_against_brute_force():
+    rng = np.random.default_rng(5)
+    for _ in range(500):
+        weights = [int(x) for x in rng.choice([0, 0, 0, 0, 5, 30, 90, -1], int(rng.integers(0, 30)))]
+        for window in (1, 2, 3, 5):
+            got = html_extract.segments(weights, window)
+            assert [x[:2] for x in got] == [x[:2] for x in brute_segments(weights, window)], (weights, window)
+            assert [x[2] for x in got] == [x[2] for x in brute_segments(weights, window)], (weights, window)
+
+
+def test_windows_decide_inside_and_outside_articles():
+    links = "".join(f"<li><a href=/{k}>Other story {k}</a></li>" for k in range(4))
+    page = f"<article><h1><a href=/>Title</a></h1><p>One.</p><ul>{links}</ul><p>Two <a href=x>with a link</a>.</p><p><a href=y>Only a link</a></p></article>"
+    want = ["Title", "One.", *(f"Other story {k}" for k in range(4)), "Two with a link.", "Only a link"]
+    assert html_extract.extract(page, window=5).split("\n") == want
+    assert html_extract.extract(page, window=3).split("\n") == want[:2] + want[-2:]
+    gap = "<div><a href=x>link</a></div>"
+    plain = f"<div>Buy shoes</div>{gap * 3}<div>{'word ' * 30}</div>{gap}<div>{'more ' * 30}</div>{gap * 3}<div>All rights</div>"
+    assert html_extract.extract(plain).split("\n") == [("word " * 30).strip(), "link", ("more " * 30).strip()]
+    assert html_extract.extract(plain, window=1).split("\n") == [("word " * 30).strip(), ("more " * 30).strip()]
+    assert html_extract.extract(plain, window=4).split("\n")[0] == "Buy shoes"  # now one stretch with the text
+    assert html_extract.extract(plain, surge=1000).split("\n") == [("word " * 30).strip(), "link", ("more " * 30).strip()]
+
+
+def test_deep_and_long_pages():
+    assert html_extract.extract("<div>" * 50_000 + "x" + "</div>" * 50_000) == "x"
+    assert html_extract.extract("<article>" + "<p>One.<i>" * 20_000).split("\n") == ["One."] * 20_000
+    assert html_extract.extract("<article><ul><li><p>" + "<span>" * 30 + "a<li>b</ul></article>") == "a\nb"
+    began = time.process_time()
+    html_extract.extract("<b>" * 100_000 + "<div>y</div>" * 20_000)
+    html_extract.extract("<li><a href='" * 50_000)
+    assert time.process_time() - began < 10
+
+
 def test_html_rows(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "own"), (2, None, None, "own"), (2, None, None, "own")], "page_id long, url string, html string, text string")
     got = html_extract.extract_pages(df).collect()
@@ -340,6 +400,68 @@ def test_toxic_disguises(spark):
     assert got == [True] * len(plain) + [False] * 2
 
 
+def speller_of(text):
+    counts = np.zeros(toxicity.SIZE**3, np.int64)
+    x = toxicity.letter_classes()[np.frombuffer(f" {text} \n".encode("utf-32-le"), np.uint32)].astype(int)
+    np.add.at(counts, (x[:-2] * toxicity.SIZE + x[1:-1]) * toxicity.SIZE + x[2:], 1)
+    return toxicity.Speller(counts)
+
+
+def brute_path(speller, places):
+    """The cost of the likeliest path, of all paths."""
+    costs = []
+    for path in itertools.product(*places):
+        p, q, total = toxicity.BORDER, toxicity.BORDER, sum(c for _, c in path)
+        for c in "".join(x for x, _ in path) + " ":
+            k = toxicity.BORDER if c == " " else ord(c) - 97 if "a" <= c <= "z" else toxicity.REST
+            total += speller.cost[(p * toxicity.SIZE + q) * toxicity.SIZE + k]
+            p, q = q, k
+        costs.append((total, "".join(x for x, _ in path)))
+    return min(costs)
+
+
+def test_viterbi_against_all_paths():
+    speller = speller_of("the moron and the idiot were all at odds, too; a fool is no moron and i do it " * 9)
+    for part in ("m0r0n", "1d10t", "i d i o t", "m o r o n i t", "mm0o-r.on", "f00l!", "$illy", "a*s", "éé1d", "x", "ii", "i-d-i"):
+        places = list(speller.lattice(part))
+        cost, text = brute_path(speller, places)
+        got = speller.decode(iter(places))[0]
+        again, _ = brute_path(speller, [[(got, 0.0)]])
+        channel = min(sum(c for _, c in path) for path in itertools.product(*places) if "".join(x for x, _ in path) == got)
+        assert again + channel == pytest.approx(cost), (part, got, text)
+    assert speller.readings("m0rr0n")[0] == "moron" and "idiot" in speller.readings("i d i o t") and "moron" in speller.readings("m.o-r_o*n")
+
+
+def test_long_parts_take_linear_time():
+    speller = speller_of("the quick brown fox " * 20)
+    rng = np.random.default_rng(1)
+    letters = "".join(map(chr, rng.integers(97, 123, 1_000_000)))
+    began = time.process_time()
+    assert len(speller.readings(letters)[0]) > 900_000 and sorted(speller.readings("a" * 1_000_000)) == ["a", "aa"]
+    assert time.process_time() - began < 10
+    assert list(toxicity.parts("a " * 100_000 + "longer"))[-1].startswith("a a a") and list(toxicity.parts("")) == []
+    assert len(speller.readings("1a" * 50_000)[0]) >= 50_000 and "ab" * 20_000 in speller.readings(" ".join("ab" * 20_000))
+
+
+def test_restoring_earns_its_place(spark, monkeypatch):
+    """Learned from plain words, then asked for disguised ones: the identity misses what the lattice restores."""
+    markers = ["moron", "idiot", "stupid", "worthless", "pathetic"]
+    df = labelled(spark, lambda k: f"you are a {markers[k // 2 % 5]} and not a guest number{k % 7}", lambda k: f"you are a friend and a guest on the way number{k % 5}", 300)
+    leet = str.maketrans("aeiost", "@31057")
+    texts = [f(m) for m in markers for f in (lambda m: m.translate(leet), " ".join, "-".join, ".".join, lambda m: "".join(c * 3 if c in "aeiou" else c for c in m), lambda m: m[0] + "*" + m[1:], lambda m: " ".join(m.translate(leet)))]
+    rows = [(k, f"you {x} there") for k, x in enumerate(texts)] + [(1000 + k, f"the {x} way") for k, x in enumerate(("fr1end", "g u e s t", "frieeend", "on-the-way"))]
+    odd = spark.createDataFrame(rows, "doc_id long, text string")
+    found = toxicity.fit(df, df, label_col="y")
+    weights = toxicity.Weights(found)
+    score = lambda text: found.layer[0] + sum(p * q for p, q in zip(found.layer[1:], toxicity.evidence(text, weights)))
+    caught = {k for k, t in rows if score(t) > math.log(0.3 / 0.7)}
+    assert {r.doc_id for r in toxicity.score_texts(odd, found).where("score >= 0.3").collect()} == caught
+    assert len([k for k in caught if k < 1000]) >= 0.9 * len(texts) and not [k for k in caught if k >= 1000]
+    monkeypatch.setattr(toxicity.Speller, "readings", lambda self, part: [part])
+    weights = toxicity.Weights(found)
+    assert not [k for k, t in rows if k < 1000 and score(t) > math.log(0.3 / 0.7)]
+
+
 # 8
 
 
@@ -375,6 +497,21 @@ def test_simhash(docs, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def test_large_shards_are_cut_with_overlaps(spark):
+    """Every pair within the radius meets, and clear borders do cut."""
+    rng = np.random.default_rng(8)
+    far = [int(x) for x in rng.integers(0, 1 << 40, 3, dtype=np.uint64)]
+    points = list(dict.fromkeys(p ^ sum(1 << int(b) for b in rng.integers(0, 40, int(rng.integers(0, 4)))) for p in far for _ in range(60)))
+    dealt = spark.createDataFrame([(p, 7) for p in points] + [(p, 8) for p in points[:5]], "fp long, shard long")
+    cut = simhash.cut_shards(dealt, 4, 40).collect()
+    shards = {}
+    for r in cut:
+        shards.setdefault(r.shard, set()).add(r.fp)
+    assert shards[8] == set(points[:5]) and len(shards) > 2 and max(map(len, shards.values())) < len(points)
+    met = {frozenset(x) for k, own in shards.items() if k != 8 for x in itertools.combinations(own, 2)}
+    assert all(frozenset(x) in met for x in itertools.combinations(points, 2) if bin(x[0] ^ x[1]).count("1") <= 4)
+
+
 def test_links_of_random_clusters(spark):
     rng = np.random.default_rng(3)
     points = []
@@ -392,6 +529,8 @@ def test_links_of_random_clusters(spark):
     own = [roots.get(s, s) for s in signed]
     same = lambda x: [x.index(v) for v in x]
     assert same(own) == same(want)
+    cut = {r.node: r.root for r in simhash.components(simhash.shard_links(fps, most=20)).collect()}
+    assert same([cut.get(s, s) for s in signed]) == same(want)
     tree = np.array(points, np.uint64)
     small = simhash.VantagePointTree(tree, leaf=8)
     assert sorted(small.take(tree[5], 10)) == sorted(k for k, p in enumerate(points) if bin(p ^ points[5]).count("1") <= 10)
@@ -510,4 +649,4 @@ def test_stages_decide_on_rows(spark, tmp_path):
 
 
 def test_every_query_is_registered():
-    assert sorted(queries.queries()) == sorted([*(f.__name__ for f in (queries.op1_html_extraction, queries.op2_secret_scans, queries.op3_chat_formatting, queries.op4_media_columns, queries.op5_byte_bpe, queries.op6_decontamination, queries.op7_quality_classifier, queries.op8_simhash, queries.op9_token_files, queries.op10_toxicity)), "pipeline"])
+    assert sorted(queries.queries()) == sorted([*(f.__name__ for f in (queries.op1_html_extraction, queries.op2_secret_scans, queries.op3_chat_formatting, queries.op4_media_columns, queries.op5_byte_bpe, queries.op6_decontamination, queries.op7_quality_classifier, queries.op8_simhash, queries.op9_token_files, queries.op10_toxicity)), "pipeline", "secret_base_columns", "media_byte_columns"])
