@@ -29,7 +29,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import append_columns, field
+from .common import append_columns, field, held
 
 #: Pieces that a worker keeps; a full cache starts anew.
 CACHE = 300_000
@@ -302,10 +302,9 @@ class Codec:
         return self.decode(ids[a:b].tobytes())[start - int(at[a]) :][: end - start] if a < b else b""
 
 
-@cache
 def codec(path: str) -> Codec:
     """One for each worker process."""
-    return Codec(path)
+    return held(("byte_bpe", path), lambda: Codec(path))
 
 
 def encode_texts(docs: DataFrame, path: str, text_col: str = "text", keep: Sequence[str] = ("doc_id",), ids: bool = True, offsets: bool = False) -> DataFrame:

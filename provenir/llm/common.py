@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -73,6 +74,18 @@ def append_columns(
     return base.mapInArrow(run, schema)
 
 
+_held: dict = {}
+
+
+def held(key: object, make: Callable[[], object]) -> object:
+    """What make gives, kept in this process until something is held under another key: workers outlive stages, and one operator's tables would lie beside the next one's."""
+    if key not in _held:
+        _held.clear()
+        gc.collect()
+        _held[key] = make()
+    return _held[key]
+
+
 def field(name: str, kind: T.DataType) -> T.StructField:
     return T.StructField(name, kind, True)
 

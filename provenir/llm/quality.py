@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Sequence
-from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -25,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import append_columns, field, labelled_sample
+from .common import append_columns, field, held, labelled_sample
 
 TRAIN_ROWS = 4000
 BUCKETS = 1 << 17
@@ -176,18 +175,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return train(*labelled_sample(docs, labels, id_col, text_col, label_col, rows))
 
 
-@lru_cache(1)
-def _sums(raw: bytes) -> WordSums:
-    return WordSums(np.frombuffer(raw, np.float64))
-
-
 def score_texts(docs: DataFrame, model: Model, text_col: str = "text", keep: Sequence[str] = ("doc_id",), out: str = "score") -> DataFrame:
     """`keep` and the probability of label 1 for each row."""
     weights = docs.sparkSession.sparkContext.broadcast(model.weights.astype(np.float64).tobytes())  # BUCKETS numbers, whatever the input
     bias = model.bias
 
     def start():
-        known = _sums(weights.value)
+        known = held(("quality", weights.value), lambda: WordSums(np.frombuffer(weights.value, np.float64)))
         own = Model(known.weights, bias)
         return lambda column: [pa.array([own.score(x or "", known) for x in column.to_pylist()], pa.float64())]
 

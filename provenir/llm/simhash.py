@@ -259,15 +259,42 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
     yield None
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def least_reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """`node`, `root` of all the edges (u, v) in the batches: labels fall to the least of their neighbours' and jump to those labels' own, until none falls."""
+    read = [(np.asarray(b.column("u")), np.asarray(b.column("v"))) for b in batches]
+    ends = np.concatenate([np.concatenate(x) for x in zip(*read)]) if read else np.empty(0, np.int64)
+    nodes, place = np.unique(ends, return_inverse=True)
+    u, v = np.concatenate([place[: len(place) // 2], place[len(place) // 2 :]]), np.concatenate([place[len(place) // 2 :], place[: len(place) // 2]])
+    label = np.arange(len(nodes))
+    while True:
+        low = label.copy()
+        np.minimum.at(low, u, label[v])
+        np.minimum.at(low, label[u], label[v])
+        while not np.array_equal(low, jumped := low[low]):
+            low = jumped
+        if np.array_equal(low, label):
+            break
+        label = low
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label])], names=["node", "root"])
+
+
+#: Edges (two numbers each) that one task may hold: as many bytes as may be broadcast.
+FEW_EDGES = 1 << 20
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b", few: int = FEW_EDGES) -> DataFrame:
     """`node` and `root`, the smallest node that links reach from it, for each node of the edges.
 
-    Alternates two steps on stars (large: neighbours above a node go to its smallest neighbour;
-    small: those below it do) until nothing changes. Each step is a grouped minimum and a join whose hubs
-    are broadcast, its rows are at most the edges, and each round is written to the checkpoint folder.
+    At most `few` edges are solved in one task. More are in rounds, each of two steps on stars (large:
+    neighbours above a node go to its smallest neighbour; small: those below it do) until nothing changes.
+    Each step is a grouped minimum and a join whose hubs are broadcast, its rows are at most the edges, and
+    each round is written to the checkpoint folder.
     """
     now = checkpointed(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before, total = None, now.count()
+    if total <= few:
+        bounded_batches(now.sparkSession)
+        return checkpointed(now.coalesce(1).mapInArrow(least_reached, "node long, root long"))
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))

@@ -26,7 +26,7 @@ import math
 import re
 import zlib
 from collections.abc import Iterator, Sequence
-from functools import cache, lru_cache
+from functools import cache
 from operator import itemgetter
 from typing import NamedTuple
 
@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, bounded_batches, field, labelled_sample
+from .common import append_columns, bounded_batches, field, held, labelled_sample
 
 TRAIN_ROWS = 6000
 #: Words that a worker keeps; a full cache starts anew.
@@ -293,17 +293,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return train(*labelled_sample(docs, labels, id_col, text_col, label_col, rows), trigram_counts(docs, text_col))
 
 
-@lru_cache(1)
-def _weights(raw: bytes, markers: tuple, layer: tuple) -> Weights:
-    return Weights(Detector(np.frombuffer(raw, np.int64), dict(markers), layer))
-
-
 def score_texts(docs: DataFrame, detector: Detector, text_col: str = "text", keep: Sequence[str] = ("doc_id",), out: str = "score") -> DataFrame:
     """`keep` and the probability of label 1 for each row."""
     sent = docs.sparkSession.sparkContext.broadcast((detector.counts.tobytes(), tuple(sorted(detector.markers.items())), detector.layer))  # bounded by SIZE ** 3 and the sample's markers
 
     def start():
-        known = _weights(*sent.value)
+        raw, markers, layer = sent.value
+        known = held(("toxicity", sent.value), lambda: Weights(Detector(np.frombuffer(raw, np.int64), dict(markers), layer)))
         b, *w = known.own.layer
 
         def compute(column: pa.Array) -> list[pa.Array]:

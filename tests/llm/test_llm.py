@@ -529,6 +529,9 @@ def test_links_of_random_clusters(spark):
     own = [roots.get(s, s) for s in signed]
     same = lambda x: [x.index(v) for v in x]
     assert same(own) == same(want)
+    links = simhash.shard_links(fps)
+    rounds = {r.node: r.root for r in simhash.components(links, few=0).collect()}
+    assert rounds == roots and simhash.components(links.where("a = b")).count() == simhash.components(links.where("a = b"), few=-1).count() == 0
     cut = {r.node: r.root for r in simhash.components(simhash.shard_links(fps, most=20)).collect()}
     assert same([cut.get(s, s) for s in signed]) == same(want)
     tree = np.array(points, np.uint64)
