@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..graph import ProvGraph
+from .ordered import after
 
 #: Event numbers by kind: fixed values of the audit format.
 KINDS = {"exit": (1,), "fork": (2, 25, 241), "exec": (23,), "read": (72,), "write": tuple(range(73, 84)), "rename": (42,)}
@@ -84,7 +85,7 @@ def build(events: DataFrame, rebind: bool = True, upsert_files: bool = False) ->
     source = moved.select("seq", "time", me.alias("me"), normal_path(F.col("path")).alias("path"), F.lit(False).alias("is_write"), F.lit(True).alias("renamed"))
     goal = moved.select("seq", "time", me.alias("me"), normal_path(F.col("path2")).alias("path"), F.lit(True).alias("is_write"), F.lit(True).alias("renamed"))
     uses = file_versions(plain.union(source).union(goal).where("path is not null"), upsert_files).withColumn("file", file_id(F.col("path"), F.col("ordinal")))
-    touches = uses.select("seq", F.col("me").alias("src"), F.col("file").alias("dst"), F.when(F.col("is_write"), "generated").otherwise("used").alias("type"), F.when(F.col("renamed"), "rename").alias("operation"), "time")
+    touches = uses.select("seq", F.col("me").alias("src"), F.col("file").alias("dst"), F.when(F.col("is_write"), "generated").otherwise("used").alias("type"), F.lit(None).cast("string").alias("operation"), "time")
     renames = uses.where("renamed")
     derived = renames.where("is_write").select("seq", "time", F.col("file").alias("src")).join(renames.where("not is_write").select("seq", F.col("file").alias("dst")), "seq").select("seq", "src", "dst", F.lit("derived").alias("type"), F.lit("rename").alias("operation"), "time")
     edges = upsert_edges(forks.union(touches).union(derived))
@@ -104,7 +105,8 @@ def snapshot_as_of(events: DataFrame, batches: DataFrame, width: int) -> DataFra
     """events (ts in seconds) with `batch`: the first of batches (batch, end_ts) that ends at ts or later; NULL after the last.
 
     The search is within buckets of `width` seconds; an event whose bucket has no later end takes the
-    first end of the next bucket that has one, which a pass over the bucket table tells.
+    first end of the next bucket that has one. That is found within spans of buckets, and
+    beyond a span from the first ends of all spans (see ordered.after).
     """
     bucket = lambda c: F.floor(F.col(c) / width)
     ends = batches.select(bucket("end_ts").alias("b"), F.col("end_ts").alias("t"), F.lit(1).alias("o"), F.struct("end_ts", "batch").alias("end"))
@@ -112,7 +114,6 @@ def snapshot_as_of(events: DataFrame, batches: DataFrame, width: int) -> DataFra
     both = rows.withColumn("end", F.lit(None).cast(ends.schema["end"].dataType)).unionByName(ends.withColumn("__row", F.lit(None).cast(rows.schema["__row"].dataType)))
     ahead = F.first("end", ignorenulls=True).over(Window.partitionBy("b").orderBy("t", "o", "end").rowsBetween(0, Window.unboundedFollowing))
     firsts = both.groupBy("b").agg(F.min("end").alias("first"))  # a row for each bucket
-    after = F.first("first", ignorenulls=True).over(Window.orderBy("b").rowsBetween(1, Window.unboundedFollowing))
-    later = firsts.select("b", after.alias("after"))
+    later = after(firsts)
     found = both.withColumn("own", ahead).where("__row is not null").join(later, "b", "left")
     return found.select("__row.*", F.coalesce("own", "after")["batch"].alias("batch"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..graph import ProvGraph
@@ -77,11 +79,13 @@ def pagerank(graph: ProvGraph, rounds: int = 100, damping: float = 0.85, toleran
     share = checkpointed(links.join(links.groupBy("src").agg(F.count("*").alias("out")), "src"))
     nodes = checkpointed(graph.nodes.select("id").join(share.select(F.col("src").alias("id"), F.lit(True).alias("sends")).distinct(), "id", "left"))
     rank = nodes.select("id", "sends", F.lit(1.0 / max(n, 1)).alias("value"))
+    dangling = nodes.where("sends is null").count() / max(n, 1)
     for k in range(1, rounds + 1):
-        dangling = rank.where("sends is null").agg(F.coalesce(F.sum("value"), F.lit(0.0))).first()[0]
         got = share.join(rank.select(F.col("id").alias("src"), "value"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("value") / F.col("out")).alias("got"))
         new = nodes.join(got, "id", "left").select("id", "sends", (F.lit((1 - damping) / max(n, 1) + damping * dangling / max(n, 1)) + damping * F.coalesce("got", F.lit(0.0))).alias("value"))
-        new = checkpointed(new)
+        held = Observation()  # of the job that writes the round
+        new = checkpointed(new.observe(held, F.coalesce(F.sum(F.when(F.col("sends").isNull(), F.col("value"))), F.lit(0.0)).alias("dangling")))
+        dangling = held.get["dangling"]
         if tolerance is not None and k % EVERY == 0:
             moved = new.join(rank.select("id", F.col("value").alias("old")), "id").agg(F.coalesce(F.sum(F.abs(F.col("value") - F.col("old"))), F.lit(0.0))).first()[0]
             rank = new
@@ -106,8 +110,8 @@ def eigenvector(graph: ProvGraph, rounds: int = 100, side: str = "right") -> Dat
     senders = links.select(F.col("src").alias("id"), F.lit(True).alias("sends")).distinct()
     nodes = checkpointed(graph.nodes.select("id").join(senders, "id", "left"))
     x = nodes.select("id", "sends", F.lit(1.0).alias("value"))
+    total, length, loose = float(n), math.sqrt(n), float(nodes.where("sends is null").count())
     for _ in range(rounds):
-        total, length, loose = x.agg(F.coalesce(F.sum("value"), F.lit(0.0)), F.sqrt(F.sum(F.col("value") * F.col("value"))), F.coalesce(F.sum(F.when(F.col("sends").isNull(), F.col("value"))), F.lit(0.0))).first()
         if not length:
             break
         got = links.join(x.select(F.col("id").alias(far), "value"), far).groupBy(F.col(near).alias("id")).agg(F.sum("value").alias("got"))
@@ -116,6 +120,8 @@ def eigenvector(graph: ProvGraph, rounds: int = 100, side: str = "right") -> Dat
             value = F.when(F.col("sends").isNull(), F.lit(total / n)).otherwise(F.coalesce("got", F.lit(0.0)))
         else:
             value = F.coalesce("got", F.lit(0.0)) + loose / n
-        x = checkpointed(joined.select("id", "sends", (value / length).alias("value")))
-    length = x.agg(F.sqrt(F.sum(F.col("value") * F.col("value")))).first()[0] or 1.0
-    return x.select("id", (F.col("value") / length).alias("value"))
+        held = Observation()
+        sums = (F.coalesce(c, F.lit(0.0)).alias(k) for k, c in (("total", F.sum("value")), ("square", F.sum(F.col("value") * F.col("value"))), ("loose", F.sum(F.when(F.col("sends").isNull(), F.col("value"))))))
+        x = checkpointed(joined.select("id", "sends", (value / length).alias("value")).observe(held, *sums))
+        total, length, loose = held.get["total"], math.sqrt(held.get["square"]), held.get["loose"]
+    return x.select("id", (F.col("value") / (length or 1.0)).alias("value"))

@@ -59,10 +59,11 @@ def resolve_types(ancestry: DataFrame, inputs: DataFrame, forks: DataFrame, vers
     return ranked.groupBy("src", "dst").agg(F.min("k").alias("k")).select("src", "dst", names.alias("type"))
 
 
-def make_graph(ancestry: DataFrame, records: DataFrame) -> ProvGraph:
+def make_graph(ancestry: DataFrame, records: DataFrame, strict: bool = False) -> ProvGraph:
     """The graph of ancestry (parent_pnode, parent_version, child_pnode, child_version) and decoded records (pnode, version, attr, value, ref_pnode, ref_version, ancestry, seq).
 
-    Only records of known nodes count; INPUT and FORKPARENT need an ANCESTRY mark on the node.
+    Only records of known nodes count; INPUT and FORKPARENT need an ANCESTRY mark on the node. strict: raise if
+    an input or fork edge has no ancestry (see resolve_types).
     """
     nodes = known_nodes(ancestry)
     own = records.join(nodes, KEY, "left_semi")
@@ -79,4 +80,19 @@ def make_graph(ancestry: DataFrame, records: DataFrame) -> ProvGraph:
     rows = full.unionByName(bare)
     freeze = F.split(F.try_element_at("attrs", F.lit("FREEZETIME")), r"\.")
     table = rows.select(node_id(F.col("pnode"), F.col("version")).alias("id"), *KEY, F.try_element_at("attrs", F.lit("TYPE")).alias("type"), F.coalesce(F.try_element_at("attrs", F.lit("NAME")), F.format_string("PIPE-(%d, %d)", "pnode", "version")).alias("name"), F.get(freeze, 0).cast("int").alias("freeze_sec"), F.get(freeze, 1).cast("int").alias("freeze_nsec"), "attrs")
-    return ProvGraph(table, resolve_types(parents, inputs, forks, versions))
+    return ProvGraph(table, resolve_types(parents, inputs, forks, versions, strict))
+
+
+def attribute_report(graph: ProvGraph) -> DataFrame:
+    """pnode, version, key, value: the graph's nodes with their attributes, in order; a node without any has one row with a NULL key."""
+    rows = graph.nodes.select(*KEY, F.explode_outer("attrs").alias("key", "value"))
+    return rows.orderBy("pnode", "version", "key")
+
+
+def report_lines(graph: ProvGraph) -> DataFrame:
+    """line: the same as text, an object's number before its versions, a version before its attributes."""
+    rows = attribute_report(graph)
+    heads = graph.nodes.select("pnode", F.lit(None).cast("long").alias("version"), F.lit(None).cast("string").alias("key"), F.col("pnode").cast("string").alias("line")).distinct()
+    steps = graph.nodes.select(*KEY, F.lit(None).cast("string").alias("key"), F.concat(F.lit("-> "), F.col("version").cast("string")).alias("line"))
+    attrs = rows.where("key is not null").select(*KEY, "key", F.concat(F.lit("---> "), "key", F.lit(" -> "), F.coalesce("value", F.lit(""))).alias("line"))
+    return heads.union(steps).union(attrs).orderBy("pnode", F.asc_nulls_first("version"), F.asc_nulls_first("key")).select("line")

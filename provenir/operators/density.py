@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 BANDWIDTH = 0.5
 #: Places to which log-likelihoods are rounded before they are ranked, so that symmetric values tie.
 PLACES = 12
+#: Distinct values of a group that are scored in one part.
+PART = 2000
 
 
 def gaussian(x: Column, mean: Column, sigma: Column) -> Column:
@@ -22,6 +24,16 @@ def model(samples: DataFrame) -> DataFrame:
     return samples.groupBy("name", "stat", "value").agg(F.count("*").alias("cnt"))
 
 
+def met_in_parts(asked: DataFrame, near: DataFrame, keys: list[str]) -> DataFrame:
+    """asked joined with near on keys. A group's asked rows are dealt to as many parts as it has PART of them, and its near rows go to all, so that a large group isn't one task."""
+    parts = asked.groupBy(*keys).agg(F.ceil(F.count("*") / PART).cast("int").alias("__parts")).where("__parts > 1")
+    if parts.isEmpty():
+        return asked.join(near, keys)
+    dealt = asked.join(parts, keys, "left").withColumn("__part", F.pmod(F.xxhash64("value"), F.coalesce("__parts", F.lit(1))).cast("int")).drop("__parts")
+    spread = near.join(parts, keys, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
+    return dealt.join(spread, [*keys, "__part"]).drop("__part")
+
+
 def kde_score(queries: DataFrame, samples: DataFrame, bandwidth: float = BANDWIDTH, model_name: str | None = None) -> DataFrame:
     """queries (name, stat, value, ...) with `density` under the samples of their name, NULL where there are none.
 
@@ -32,7 +44,7 @@ def kde_score(queries: DataFrame, samples: DataFrame, bandwidth: float = BANDWID
     asked = own.select("__model", "stat", "value").distinct()
     near = model(samples).select(F.col("name").alias("__model"), "stat", F.col("value").alias("x"), "cnt")
     part = F.exp(-F.pow(F.col("value") - F.col("x"), F.lit(2.0)) / (2 * bandwidth**2))
-    met = asked.join(near, ["__model", "stat"]).groupBy("__model", "stat", "value").agg((F.sum(F.col("cnt") * part) / F.sum("cnt") / (bandwidth * math.sqrt(2 * math.pi))).alias("density"))
+    met = met_in_parts(asked, near, ["__model", "stat"]).groupBy("__model", "stat", "value").agg((F.sum(F.col("cnt") * part) / F.sum("cnt") / (bandwidth * math.sqrt(2 * math.pi))).alias("density"))
     return own.join(met, ["__model", "stat", "value"], "left").drop("__model")
 
 
@@ -50,7 +62,7 @@ def parzen(values: DataFrame) -> DataFrame:
     groups = values.groupBy("name", "metric").agg(F.count("*").alias("n"), F.when(F.min("value") == F.max("value"), 0.0).otherwise(F.stddev_pop("value")).alias("sigma"))
     own = grouped.join(groups, ["name", "metric"])
     others = grouped.select("name", "metric", F.col("value").alias("x"), F.col("cnt").alias("c"))
-    sums = own.where("sigma > 0").join(others, ["name", "metric"]).groupBy("name", "metric", "value").agg(F.ln(F.sum(F.col("c") * gaussian(F.col("value"), F.col("x"), F.col("sigma"))) / F.first("n")).alias("ll"))
+    sums = met_in_parts(own.where("sigma > 0"), others, ["name", "metric"]).groupBy("name", "metric", "value").agg(F.ln(F.sum(F.col("c") * gaussian(F.col("value"), F.col("x"), F.col("sigma"))) / F.first("n")).alias("ll"))
     return own.join(sums, ["name", "metric", "value"], "left")
 
 

@@ -3,20 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import ProvGraph
+from .ordered import count_below
 
-#: Thresholds of the sweep.
+#: Thresholds of the sweep: fixed values.
 PSIS = (0.000001, 0.00001, 0.0001, 0.001, 0.01, 0.02, 0.03, 0.04, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
 
 
 def named_ends(graph: ProvGraph) -> DataFrame:
-    """id, name, sec: named processes at either end of each timed edge."""
+    """id, name, sec: named processes at either end of a timed edge, each second once."""
     names = graph.nodes.where("type = 'process' and name <> 'UNKNOWN'").select("id", "name")
-    return graph.edges.where("sec is not null").select("sec", F.explode(F.array("src", "dst")).alias("id")).join(names, "id")
+    return graph.edges.where("sec is not null").select("sec", F.explode(F.array("src", "dst")).alias("id")).distinct().join(names, "id")
 
 
 def candidates(graph: ProvGraph, labels: DataFrame, w: int, window: str = "symmetric") -> DataFrame:
@@ -48,6 +50,24 @@ def candidates(graph: ProvGraph, labels: DataFrame, w: int, window: str = "symme
     return plain.union(late).distinct()
 
 
+def prefix_counts(graph: ProvGraph, labels: DataFrame, w: int, width: int = 86400) -> DataFrame:
+    """label, n: how many processes candidates(..., "prefix") has for each label, by running counts of the processes' first edges.
+
+    Only labels whose lower bound w - ts can matter (it lies after some first edge) are met with processes one by one.
+    """
+    ends = named_ends(graph)
+    first = ends.groupBy("id").agg(F.min("sec").alias("t"))
+    least = first.agg(F.min("t")).first()[0]
+    asked = labels.select(F.col("id").alias("label"), "ts", (F.col("ts") + w).alias("t"))
+    if least is None:
+        return asked.select("label", F.lit(0).cast("long").alias("n"))
+    open_ = asked.where(F.lit(w) - F.col("ts") < least)
+    running = open_.join(count_below(first, open_, width), "t").select("label", "n")
+    rest = labels.where(F.lit(w) - F.col("ts") >= least)
+    counted = candidates(graph, rest, w, "prefix").groupBy("label").agg(F.count("*").alias("n"))
+    return running.union(rest.select(F.col("id").alias("label")).join(counted, "label", "left").select("label", F.coalesce("n", F.lit(0)).alias("n")))
+
+
 def decisions(found: DataFrame, preds: DataFrame, labels: DataFrame, psis: Sequence[float] = PSIS) -> DataFrame:
     """label, type, psi, normal, total, intrusions for each label and threshold; labels without candidates have zeros.
 
@@ -60,13 +80,14 @@ def decisions(found: DataFrame, preds: DataFrame, labels: DataFrame, psis: Seque
     return all_.select("label", "type", total.alias("total"), F.explode(rows).alias("r")).select("label", "type", "r.psi", F.col("r.normal").cast("long").alias("normal"), "total", (F.col("total") - F.col("r.normal")).cast("long").alias("intrusions"))
 
 
-def confusion(decided: DataFrame, positive: str = "u2r", negative: str = "none") -> DataFrame:
-    """psi, tp, fn, fp, tn, tpr, fpr. A label is flagged if intrusions outnumber normal candidates."""
+def confusion(decided: DataFrame, positive: str = "u2r", negative: str = "none", by: Sequence[str] = ()) -> DataFrame:
+    """psi, tp, fn, fp, tn, tpr, fpr. A label is flagged if intrusions outnumber normal candidates. by: fields of label that come first and are told apart."""
     flag = F.col("intrusions") > F.col("normal")
     n = lambda kind, cond, name: F.count_if((F.col("type") == kind) & cond).cast("long").alias(name)
-    counts = decided.groupBy("psi").agg(n(positive, flag, "tp"), n(positive, ~flag, "fn"), n(negative, flag, "fp"), n(negative, ~flag, "tn"))
+    keys = [F.col(f"label.{k}").alias(k) for k in by]
+    counts = decided.groupBy(*keys, "psi").agg(n(positive, flag, "tp"), n(positive, ~flag, "fn"), n(negative, flag, "fp"), n(negative, ~flag, "tn"))
     rate = lambda a, b, name: F.try_divide(F.col(a).cast("double"), (F.col(a) + F.col(b)).cast("double")).alias(name)
-    return counts.select("psi", "tp", "fn", "fp", "tn", rate("tp", "fn", "tpr"), rate("fp", "tn", "fpr"))
+    return counts.select(*by, "psi", "tp", "fn", "fp", "tn", rate("tp", "fn", "tpr"), rate("fp", "tn", "fpr"))
 
 
 def select_labels(labels: DataFrame, seed: int = 0) -> DataFrame:
@@ -78,12 +99,21 @@ def select_labels(labels: DataFrame, seed: int = 0) -> DataFrame:
 
 
 def window_sweep(graph: ProvGraph, labels: DataFrame, preds: DataFrame, widths: Sequence[int] = (10, 100, 1000), window: str = "symmetric") -> DataFrame:
-    """w and the confusion matrix of each window width."""
-    out = None
-    for w in widths:
-        one = confusion(decisions(candidates(graph, labels, w, window), preds, labels)).select(F.lit(w).alias("w"), "*")
-        out = one if out is None else out.union(one)
-    return out
+    """w and the confusion matrix of each window width, all widths in one pass."""
+    if window != "symmetric":
+        parts = [confusion(decisions(candidates(graph, labels, w, window), preds, labels)).select(F.lit(w).alias("w"), "*") for w in widths]
+        return reduce(DataFrame.union, parts)
+    each = F.explode(F.array(*map(F.lit, widths))).alias("w")
+    ends = named_ends(graph).select("id", "sec", each).select("id", "sec", "w", F.floor(F.col("sec") / F.col("w")).alias("b"))
+    asked = labels.select(F.col("id").alias("label"), "ts", each).select("label", "ts", "w", F.explode(F.array(*(F.floor(F.col("ts") / F.col("w")) + k for k in (-1, 0, 1)))).alias("b"))
+    found = ends.join(asked, ["w", "b"]).where((F.col("sec") > F.col("ts") - F.col("w")) & (F.col("sec") < F.col("ts") + F.col("w"))).select(F.struct("w", "label").alias("label"), "id").distinct()
+    marks = labels.select("id", "type", each).select(F.struct("w", F.col("id").alias("label")).alias("id"), "type")
+    return confusion(decisions(found, preds, marks), by=("w",))
+
+
+def write_sweep(swept: DataFrame, folder: str) -> None:
+    """The sweep's rows, in a folder for each width."""
+    swept.write.mode("overwrite").partitionBy("w").parquet(folder)
 
 
 def compare(good: DataFrame, bad: DataFrame) -> DataFrame:

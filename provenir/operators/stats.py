@@ -17,7 +17,7 @@ class Stat(NamedTuple):
     other: str
 
 
-#: The sixteen statistics; adding an entry adds a statistic.
+#: The sixteen statistics, whose names are fixed values; adding an entry adds a statistic.
 STATS: dict[str, Stat] = {
     "file_out_file": Stat("FILE", "out", "INPUT", "FILE"),
     "file_in_file": Stat("FILE", "in", "INPUT", "FILE"),
@@ -70,14 +70,21 @@ def count_edge_types(graph: ProvGraph, stat: Stat) -> DataFrame:
 
 def samples(graph: ProvGraph, stats: dict[str, Stat] = STATS) -> DataFrame:
     """id, name, stat, value: a row for each node and each statistic of its type."""
+    if len(stats) == 1:  # no need of both ends' types
+        ((name, stat),) = stats.items()
+        return count_edge_types(graph, stat).select("id", "name", F.lit(name).alias("stat"), F.col("cnt").cast("double").alias("value"))
     wide = all_stats(graph, stats)
     rows = F.array(*(F.struct(F.lit(k).alias("stat"), F.lit(s.own).alias("own"), F.col(k).cast("double").alias("value")) for k, s in stats.items()))
     return wide.select("id", "name", F.explode(F.filter(rows, lambda r: r["own"] == F.col("type"))).alias("r")).select("id", "name", "r.stat", "r.value")
 
 
-def node_values(graph: ProvGraph, node: str) -> DataFrame:
-    """All statistics of one node."""
-    return all_stats(graph).where(F.col("id") == node)
+def node_values(graph: ProvGraph, nodes: DataFrame, stats: dict[str, Stat] = STATS) -> DataFrame:
+    """id, name, stat, value: every statistic of each node in `nodes` (column id), 0 for those of other types. Only edges that touch them are read on."""
+    ids = nodes.select("id").distinct()
+    near = graph.edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").unionByName(graph.edges.join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")).distinct()
+    wide = all_stats(ProvGraph(graph.nodes, near), stats).join(ids, "id", "left_semi")
+    rows = F.array(*(F.struct(F.lit(k).alias("stat"), F.col(k).alias("value")) for k in stats))
+    return wide.select("id", "name", F.explode(rows).alias("r")).select("id", "name", "r.stat", "r.value")
 
 
 def by_name(rows: DataFrame) -> DataFrame:

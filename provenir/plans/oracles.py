@@ -102,9 +102,9 @@ def stat(name: str) -> str:
 LEFT JOIN nodes o ON o.id = e.{far} AND o.type = '{s.other}' WHERE n.type = '{s.own}' GROUP BY n.id, n.name"""
 
 
-def sample_rows() -> str:
-    return "samples AS (" + " UNION ALL ".join(
-        f"SELECT n.id, n.name, '{k}' AS stat, CAST(count(o.id) AS DOUBLE) AS value FROM nodes n LEFT JOIN edges e ON e.{'src' if s.direction == 'out' else 'dst'} = n.id AND e.type = '{s.edge}' LEFT JOIN nodes o ON o.id = e.{'dst' if s.direction == 'out' else 'src'} AND o.type = '{s.other}' WHERE n.type = '{s.own}' GROUP BY n.id, n.name"
+def sample_rows(name: str = "samples", kept: str = "") -> str:
+    return f"{name} AS (" + " UNION ALL ".join(
+        f"SELECT n.id, n.name, '{k}' AS stat, CAST(count(o.id) AS DOUBLE) AS value FROM nodes n LEFT JOIN edges e ON e.{'src' if s.direction == 'out' else 'dst'} = n.id AND e.type = '{s.edge}' {kept} LEFT JOIN nodes o ON o.id = e.{'dst' if s.direction == 'out' else 'src'} AND o.type = '{s.other}' WHERE n.type = '{s.own}' GROUP BY n.id, n.name"
         for k, s in STATS.items()
     ) + ")"
 
@@ -137,9 +137,9 @@ def eigenvector(rounds: int) -> str:
 
 ORACLES: dict[str, str] = {f"stat_{k}": stat(k) for k in STATS} | {
     "stats_by_name": f"WITH {KERNEL}, {sample_rows()} SELECT name, stat, count(*) AS n, sum(value) AS sum, round(avg(value), 6) AS mean, min(value) AS min, max(value) AS max FROM samples GROUP BY name, stat",
-    "node_values": f"WITH {KERNEL}, {sample_rows()} SELECT id, name, stat, value FROM samples WHERE id = 'C7'",
+    "node_values": f"WITH {KERNEL}, {sample_rows()}, own(stat) AS (VALUES {', '.join(f"('{k}')" for k in STATS)}) SELECT n.id, n.name, o.stat, CAST(coalesce(s.value, 0) AS BIGINT) AS value FROM nodes n CROSS JOIN own o LEFT JOIN samples s ON s.id = n.id AND s.stat = o.stat WHERE n.id IN ('C7', 'O7', 'N7')",
     "version_edges": f"WITH {KERNEL} SELECT DISTINCT pnode AS src_pnode, version - 1 AS src_version, pnode AS dst_pnode, version AS dst_version FROM nodes WHERE version >= 1",
-    "attr_inheritance": f"WITH {KERNEL} SELECT n.pnode, n.version, coalesce(n.name, z.name) AS name, coalesce(n.freeze_sec, z.freeze_sec) AS freeze_sec, z.name AS base_name FROM nodes n LEFT JOIN nodes z ON n.pnode = z.pnode AND z.version = 0",
+    "attr_inheritance": f"WITH {KERNEL}, o AS (SELECT pnode, version, CASE WHEN version > 0 AND length(pnode) % 2 = 0 THEN NULL ELSE name END AS name, freeze_sec FROM nodes) SELECT n.pnode, n.version, coalesce(n.name, z.name) AS name, coalesce(n.freeze_sec, z.freeze_sec) AS freeze_sec, CAST((coalesce(n.name, z.name) IS NOT NULL) AS INTEGER) + CAST((coalesce(n.freeze_sec, z.freeze_sec) IS NOT NULL) AS INTEGER) AS n_attrs FROM o n LEFT JOIN o z ON n.pnode = z.pnode AND z.version = 0",
     "edge_type_resolution": f"WITH {KERNEL}, ranked AS (SELECT src, dst, 9 AS k FROM edges UNION ALL SELECT src, dst, 3 FROM edges WHERE type <> 'FORKPARENT' UNION ALL SELECT src, dst, 2 FROM edges WHERE type = 'FORKPARENT' AND dst NOT IN (SELECT dst FROM edges WHERE type = 'INPUT') UNION ALL SELECT src, dst, 1 FROM edges WHERE type = 'INPUT') SELECT src, dst, CASE min(k) WHEN 1 THEN 'INPUT' WHEN 2 THEN 'FORKPARENT' WHEN 3 THEN 'VERSION' END AS type FROM ranked GROUP BY src, dst",
     "in_degree": f"WITH {KERNEL} SELECT n.id, round(count(e.src) / ((SELECT count(*) FROM nodes) - 1.0), 9) AS value FROM nodes n LEFT JOIN edges e ON e.dst = n.id GROUP BY n.id",
     "out_degree": f"WITH {KERNEL} SELECT n.id, round(count(e.dst) / ((SELECT count(*) FROM nodes) - 1.0), 9) AS value FROM nodes n LEFT JOIN edges e ON e.src = n.id GROUP BY n.id",
@@ -147,8 +147,8 @@ ORACLES: dict[str, str] = {f"stat_{k}": stat(k) for k in STATS} | {
     "age": f"WITH {KERNEL}, t AS (SELECT id, CAST(freeze_sec || '.' || freeze_nsec AS DOUBLE) AS t FROM nodes) SELECT id, CASE WHEN t IS NULL OR t = 0 THEN 0.0 ELSE round((t - (SELECT min(t) FROM t)) / (SELECT max(t) - min(t) FROM t), 6) END AS value FROM t",
     "kde_score": f"WITH {KERNEL}, {sample_rows()}, {KDE} SELECT id, name, value, round(density, 6) AS density FROM kde WHERE stat = 'proc_out_file'",
     "kde_score_all": f"WITH {KERNEL}, {sample_rows()}, {KDE} SELECT id, name, stat, value, round(density, 6) AS density FROM kde",
-    "kde_min_by_name": f"WITH {KERNEL}, {sample_rows()}, {KDE} SELECT name, stat, round(min(density), 6) AS density FROM kde GROUP BY name, stat",
-    "kde_cross_graph": f"WITH {KERNEL}, {sample_rows()} SELECT s.id, s.stat, s.value, round(avg(exp(-power(s.value - m.value, 2) / 0.5)) / (0.5 * sqrt(2 * pi())), 6) AS density FROM samples s LEFT JOIN samples m ON m.name = 'BUILDING' AND m.stat = s.stat WHERE s.id LIKE 'S%' GROUP BY s.id, s.stat, s.value",
+    "kde_min_by_name": f"WITH {KERNEL}, {sample_rows()}, {KDE} SELECT name, stat, round(min(round(density, 9)), 6) AS density, arg_min(id, (round(density, 9), id)) AS id FROM kde GROUP BY name, stat",
+    "kde_cross_graph": f"WITH {KERNEL}, {sample_rows()}, {sample_rows('other', "AND NOT (e.type = 'INPUT' AND (e.src LIKE '%5' OR e.dst LIKE '%5'))")} SELECT o.id, o.stat, o.value, round(avg(exp(-power(o.value - m.value, 2) / 0.5)) / (0.5 * sqrt(2 * pi())), 6) AS density FROM other o LEFT JOIN samples m ON m.name = CASE WHEN o.id LIKE 'S%' THEN 'BUILDING' ELSE o.name END AND m.stat = o.stat WHERE o.id LIKE 'S%' OR o.id LIKE 'C%' GROUP BY o.id, o.stat, o.value",
     "kde_diff": f"WITH {KERNEL}, {sample_rows()}, {KDE}, g AS (SELECT stat, density FROM kde WHERE id = 'C0'), b AS (SELECT stat, density FROM kde WHERE id = 'O1') SELECT coalesce(g.stat, b.stat) AS stat, round(g.density, 6) AS good, round(b.density, 6) AS bad, round(g.density - b.density, 6) AS difference FROM g FULL JOIN b ON g.stat = b.stat",
     "hist10": f"WITH {KERNEL}, {sample_rows()}, sp AS (SELECT name, stat, CASE WHEN min(value) = max(value) THEN min(value) - 1 ELSE min(value) END AS a, CASE WHEN min(value) = max(value) THEN max(value) + 1 ELSE max(value) END AS b, CASE WHEN min(value) = max(value) THEN 3 ELSE 10 END AS k FROM samples GROUP BY name, stat) SELECT s.name, s.stat, least(CAST(floor((value - a) / ((b - a) / k)) AS INTEGER) + 1, k) AS bin, count(*) AS cnt FROM samples s JOIN sp ON s.name = sp.name AND s.stat = sp.stat GROUP BY 1, 2, 3",
     "kde_grid": f"WITH {KERNEL}, {sample_rows()}, model AS (SELECT name, stat, value AS x, count(*) AS c FROM samples WHERE stat = 'proc_out_file' GROUP BY name, stat, value), sp AS (SELECT name, min(x) AS a, max(x) AS b FROM model GROUP BY name), pts AS (SELECT name, i, a + (b - a) * i / 99 AS value FROM sp, range(100) r(i)) SELECT p.name, CAST(p.i AS INTEGER) AS i, round(p.value, 6) AS value, round(sum(c * exp(-power(p.value - x, 2) / 0.5)) / sum(c) / (0.5 * sqrt(2 * pi())), 6) AS density FROM pts p JOIN model m ON p.name = m.name GROUP BY p.name, p.i, p.value",
@@ -169,6 +169,7 @@ ORACLES: dict[str, str] = {f"stat_{k}": stat(k) for k in STATS} | {
     "parzen_pred_cume": f"WITH RECURSIVE {AUDIT}, {REACH}, {OPSAHL}, {PARZEN} SELECT name, round(value, 6) AS value, cnt, round(cume, 6) AS pred FROM pred",
     "candidates_symmetric": f"WITH {AUDIT}, {LABELS}, {candidates(1000)} SELECT label, id, name FROM cand",
     "candidates_prefix": f"WITH {AUDIT}, {LABELS}, {candidates(1000, 'prefix')} SELECT label, count(*) AS n FROM cand GROUP BY label",
+    "label_ends": f"WITH {AUDIT}, {LABELS}, {candidates(1000, 'prefix')} SELECT l.label, count(c.id) AS n FROM lab l LEFT JOIN cand c ON c.label = l.label GROUP BY l.label",
     "psi_decisions": f"WITH RECURSIVE {AUDIT}, {REACH}, {OPSAHL}, {PARZEN}, {LABELS}, {decisions(1000)} SELECT * FROM dec",
     "confusion_matrix": f"WITH RECURSIVE {AUDIT}, {REACH}, {OPSAHL}, {PARZEN}, {LABELS}, {decisions(1000)}, {CONFUSION}",
     "window_sweep": f"WITH RECURSIVE {AUDIT}, {REACH}, {OPSAHL}, {PARZEN}, {LABELS} {sweep((10, 100, 1000))}",

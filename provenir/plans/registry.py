@@ -13,6 +13,7 @@ from ..operators import audit_graph, centrality, construct, density, evaluate, s
 from ..session import checkpointed
 from ..sources import labels as label_source
 from ..sources import star
+from . import raw
 
 #: Seconds on either side of a label.
 WINDOW = 1000
@@ -35,7 +36,8 @@ def stats_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def node_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return samples(spark, sf_dir).where("id = 'C7'").select("id", "name", "stat", "value")
+    graph = star.kernel_graph(spark, sf_dir)
+    return stats.node_values(graph, graph.nodes.where("id in ('C7', 'O7', 'N7')").select("id"))
 
 
 def version_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,9 +45,13 @@ def version_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def attr_inheritance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Later versions of some objects have lost their names; ancestry marks aren't passed on."""
     nodes = star.kernel_nodes(spark, sf_dir)
-    first = nodes.where("version = 0").select("pnode", F.col("name").alias("base_name"), F.col("freeze_sec").alias("base_sec"))
-    return nodes.join(first, "pnode", "left").select("pnode", "version", F.coalesce("name", "base_name").alias("name"), F.coalesce("freeze_sec", "base_sec").alias("freeze_sec"), "base_name")
+    lost = (F.col("version") > 0) & (F.length("pnode") % 2 == 0)
+    own = F.filter(F.array(F.struct(F.lit("NAME").alias("k"), F.when(~lost, F.col("name")).alias("v")), F.struct(F.lit("FREEZETIME").alias("k"), F.col("freeze_sec").cast("string").alias("v")), F.struct(F.lit("FORKPARENT").alias("k"), F.lit("x").alias("v"))), lambda x: x["v"].isNotNull())
+    found = construct.inherit(nodes.select("pnode", "version"), nodes.select("pnode", "version", F.map_from_entries(own).alias("attrs")))
+    value = lambda k: F.try_element_at("attrs", F.lit(k))
+    return found.select("pnode", "version", value("NAME").alias("name"), value("FREEZETIME").cast("long").alias("freeze_sec"), F.size("attrs").alias("n_attrs"))
 
 
 def edge_type_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,14 +97,16 @@ def kde_score_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kde_min_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(density.minimum_by_stat(kde_all(spark, sf_dir)), "density").select("name", "stat", "density")
+    return density.minimum_by_stat(rounded(kde_all(spark, sf_dir), "density", places=9)).select("name", "stat", F.round("density", 6).alias("density"), "id")
 
 
 def kde_cross_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers scored as if they were the BUILDING segment's processes."""
-    own = samples(spark, sf_dir)
-    asked = own.where("id like 'S%'")
-    return rounded(density.kde_score(asked, own, model_name="BUILDING"), "density").select("id", "stat", "value", "density")
+    """Customers of a second graph, which lacks the inputs of every fifth object, under the first one's densities of their names; suppliers under those of BUILDING."""
+    graph = star.kernel_graph(spark, sf_dir)
+    other = ProvGraph(graph.nodes, graph.edges.where("not (type = 'INPUT' and (src like '%5' or dst like '%5'))"))
+    model, asked = stats.samples(graph), stats.samples(other)
+    own = density.kde_score(asked.where("id like 'C%'"), model).unionByName(density.kde_score(asked.where("id like 'S%'"), model, model_name="BUILDING"))
+    return rounded(own, "density").select("id", "stat", "value", "density")
 
 
 def kde_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,6 +219,11 @@ def window_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(evaluate.window_sweep(graph, star.intrusion_labels(spark, sf_dir), checkpointed(process_preds(graph))), "tpr", "fpr")
 
 
+def label_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many named processes a prefix window takes in, by running counts."""
+    return evaluate.prefix_counts(star.audit_graph_of(spark, sf_dir), star.intrusion_labels(spark, sf_dir), WINDOW)
+
+
 def label_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = {"FURNITURE": "dos", "BUILD": "u2r", "AUTO": "probe", "-": "none"}
     return star.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("name"), label_source.classify(F.col("c_mktsegment"), classes).alias("type"))
@@ -227,14 +240,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plain = (
         stats_by_name, node_values, version_edges, attr_inheritance, edge_type_resolution, reverse_in_degree, age, kde_score, kde_score_all, kde_min_by_name, kde_cross_graph, kde_diff, hist10, kde_grid,
         pagerank_10it, eigen_10it, incarnations, exec_names, file_versions, egraph_edges, egraph_nodes, drop_isolated, process_counts, ancestor, opsahl, opsahl_by_name, parzen_ll, parzen_pred,
-        candidates_symmetric, candidates_prefix, psi_decisions, confusion_matrix, window_sweep, label_class, snapshot_asof,
+        candidates_symmetric, candidates_prefix, label_ends, psi_decisions, confusion_matrix, window_sweep, label_class, snapshot_asof,
     )
     found |= {f.__name__: f for f in plain}
     found |= {"in_degree": partial(degree, direction="in"), "out_degree": partial(degree, direction="out"), "parzen_pred_cume": partial(parzen_pred, rank="cume")}
-    return found
+    return found | raw.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    from .oracles import ORACLES
+    from . import oracles, raw_oracles
 
-    return ORACLES
+    return oracles.ORACLES | raw_oracles.ORACLES

@@ -13,11 +13,23 @@ def session(name: str = "provenir", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def checkpointed(df):
-    """df, computed once and kept in the session's checkpoint folder (spark.checkpoint.dir, or a temporary one where that is unset)."""
+def shared_folder(spark: SparkSession) -> str:
+    """Where driver and executors both read and write: spark.checkpoint.dir, or a temporary folder where they are one process."""
+    if base := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
+        return base.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     import tempfile
 
+    base = "file://" + tempfile.mkdtemp(prefix="provenir-")
+    spark.sparkContext.setCheckpointDir(base)
+    return base
+
+
+def checkpointed(df):
+    """df, computed once and kept in the session's checkpoint folder."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="provenir-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

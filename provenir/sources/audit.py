@@ -1,7 +1,8 @@
 """Audit trails as text: one token a line, comma separated, a record from its header to its trailer.
 
-Lines need their order. `numbered` gives it: for each file, its lines with their number, from one row
-for each file chunk that Spark reads in order. Windows run within a file.
+Lines need their order. `numbered` gives it: files are read in splits, a line's place is its split's first
+byte and its number in it. Records are counted within splits, and splits within a file, so that no window
+holds more than a split's lines.
 """
 
 from __future__ import annotations
@@ -16,9 +17,10 @@ HEADERS, SUBJECTS, RETURNS, PATH, TRAILER = (20, 21, 116, 121), (36, 122, 117, 1
 
 
 def numbered(spark: SparkSession, path: str) -> DataFrame:
-    """file, seq, line. Whole files are read (a trail is written in files of bounded size) and their lines numbered; gzip files are opened."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    return whole.select("file", F.posexplode(F.split("value", "\r?\n")).alias("seq", "line")).where("trim(line) <> ''")
+    """file, split, seq, line: seq rises along a file, split is the first byte of what was read at once (a gzip file is one split). Blank lines are left out."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row"), F.rtrim(F.regexp_replace("value", "\r$", "")).alias("line"))
+    first = F.min("row").over(Window.partitionBy("file", "split"))  # a split has more bytes than lines
+    return lines.withColumn("seq", F.col("split") + F.col("row") - first).where("trim(line) <> ''").select("file", "split", "seq", "line")
 
 
 def _field(n: int) -> Column:
@@ -31,9 +33,13 @@ def records(lines: DataFrame) -> DataFrame:
     Records without a trailer are left out, and so are lines before the first header. The last subject
     and return count; paths keep their order.
     """
-    tokens = lines.select("file", "seq", F.split("line", ",").alias("t")).withColumn("id", F.get("t", 0).try_cast("int"))
-    order = Window.partitionBy("file").orderBy("seq")
-    numbered_ = tokens.withColumn("record", F.sum(F.col("id").isin(*HEADERS).cast("int")).over(order)).where("record > 0")
+    split = F.col("split") if "split" in lines.columns else F.lit(0)
+    tokens = lines.select("file", split.alias("split"), "seq", F.split("line", ",").alias("t")).withColumn("id", F.get("t", 0).try_cast("int"))
+    opens = F.coalesce(F.col("id").isin(*HEADERS), F.lit(False)).cast("long")
+    inside_split = F.sum(opens).over(Window.partitionBy("file", "split").orderBy("seq"))
+    heads = tokens.groupBy("file", "split").agg(F.sum(opens).alias("n"))
+    past = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered_ = tokens.withColumn("own", inside_split).join(heads.select("file", "split", past.alias("past")), ["file", "split"]).withColumn("record", F.col("own") + F.col("past")).where("record > 0").drop("own", "past")
     ended = F.min(F.when(F.col("id") == TRAILER, F.col("seq"))).over(Window.partitionBy("file", "record"))
     inside = numbered_.withColumn("__end", ended).where("seq <= __end")
     is_ = lambda ids: F.col("id").isin(*ids)

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..graph import ProvGraph
 
-#: Colours of node types; others are black.
-COLOURS = {"PROC": "r", "FILE": "b", "NP_FILE": "g", "PIPE": "y", "DIR": "c"}
+#: Colours of node types, others are black: fixed values of the drawing.
+COLOURS = {"PROC": "r", "FILE": "g", "NP_FILE": "b", "PIPE": "y", "DIR": "o"}
 
 
 def save(graph: ProvGraph, folder: str) -> None:

@@ -21,11 +21,15 @@ DECODERS = {
 PACKED, ANCESTRY = 2, 4
 
 
+def turned(h: Column) -> Column:
+    """Hexadecimal digits with their bytes in the opposite order."""
+    return F.array_join(F.reverse(F.regexp_extract_all(h, F.lit("(..)"), 1)), "")
+
+
 def unsigned(b: Column, at: int | Column, size: int) -> Column:
     """The little-endian unsigned integer of `size` bytes after `at` bytes; NULL if it doesn't fit 63 bits or the bytes end before."""
     h = F.hex(F.substring(b, F.lit(at) + 1, F.lit(size)))
-    turned = F.concat(*(F.substring(h, F.lit(2 * k + 1), F.lit(2)) for k in reversed(range(size))))
-    return F.when(F.length(h) == 2 * size, F.try_to_number(F.conv(turned, 16, 10), F.lit("9" * 20)).cast("decimal(20,0)")).try_cast("long")
+    return F.when(F.length(h) == 2 * size, F.try_to_number(F.conv(turned(h), 16, 10), F.lit("9" * 20)).cast("decimal(20,0)")).try_cast("long")
 
 
 def signed32(b: Column, at: int | Column) -> Column:
@@ -79,9 +83,9 @@ def decoded(raw: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
     return out.join(read, ["pnode", "version", "attr", "seq"], "left").drop("kind", "payload")
 
 
-def make_graph(parent_db: DataFrame, prov_db: DataFrame, tokens: DataFrame | None = None) -> ProvGraph:
-    """The whole way from database extracts to the graph."""
-    return construct.make_graph(ancestry(parent_db), decoded(records(prov_db), token_map(tokens) if tokens is not None else None))
+def make_graph(parent_db: DataFrame, prov_db: DataFrame, tokens: DataFrame | None = None, strict: bool = False) -> ProvGraph:
+    """The whole way from database extracts to the graph. strict: raise if an input or fork edge has no ancestry."""
+    return construct.make_graph(ancestry(parent_db), decoded(records(prov_db), token_map(tokens) if tokens is not None else None), strict)
 
 
 def dump(db: DataFrame, mode: str) -> DataFrame:

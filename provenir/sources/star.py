@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..graph import ProvGraph
 from ..operators import audit_graph
+from ..session import checkpointed
 
 
 def seconds(column: str):
@@ -86,9 +87,11 @@ def audit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def audit_graph_of(spark: SparkSession, sf_dir: str) -> ProvGraph:
-    """The events' graph without isolated nodes, UNKNOWN for unnamed processes; edges have sec."""
+    """The events' graph without isolated nodes, UNKNOWN for unnamed processes; edges have sec. Computed once: windows and upserts don't run again for each use."""
     made = audit_graph.build(audit_events(spark, sf_dir))
-    return ProvGraph(made.nodes, made.edges.withColumn("sec", F.col("time"))).drop_isolated().unknown_names()
+    edges = checkpointed(made.edges.withColumn("sec", F.col("time")))
+    own = ProvGraph(made.nodes, edges).drop_isolated().unknown_names()
+    return ProvGraph(checkpointed(own.nodes), edges)
 
 
 def intrusion_labels(spark: SparkSession, sf_dir: str) -> DataFrame:

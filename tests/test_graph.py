@@ -81,7 +81,7 @@ def test_pid_reuse(spark):
     assert edges[("p2#1", "p1#0")] == ("triggered by", "fork")
     assert edges[("p2#1", "f/x#0")][0] == "used" and edges[("p2#2", "f/x#0")][0] == "used"
     assert edges[("p2#2", "f/x#1")][0] == "generated" and edges[("p1#0", "f/x#1")][0] == "used"
-    assert edges[("f/y#1", "f/x#1")] == ("derived", "rename") and edges[("p1#0", "f/y#1")] == ("generated", "rename")
+    assert edges[("f/y#1", "f/x#1")] == ("derived", "rename") and edges[("p1#0", "f/y#1")] == ("generated", None) and edges[("p1#0", "f/x#1")][1] is None
     names = {r.id: r.name for r in g.unknown_names().nodes.collect()}
     assert names["p2#1"] == "/bin/a" and names["p2#2"] == "UNKNOWN" and names["f/x#0"] == "x"
 
