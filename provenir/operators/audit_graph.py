@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import basename, file_id, normal_path, process_id
 from ..graph import ProvGraph
 from .ordered import after
 
@@ -22,14 +23,6 @@ def kind_of(event_id: Column) -> Column:
     return F.coalesce(*(F.when(event_id.isin(*ids), k) for k, ids in KINDS.items()))
 
 
-def process_id(pid: Column, incarnation: Column) -> Column:
-    return F.concat(F.lit("p"), pid.cast("string"), F.lit("#"), incarnation.cast("string"))
-
-
-def file_id(path: Column, ordinal: Column) -> Column:
-    return F.concat(F.lit("f"), path, F.lit("#"), ordinal.cast("string"))
-
-
 def incarnations(events: DataFrame, rebind: bool = True) -> DataFrame:
     """seq, pid, child_row, incarnation: for each event its process, and for each fork also its child's (child_row).
 
@@ -42,15 +35,6 @@ def incarnations(events: DataFrame, rebind: bool = True) -> DataFrame:
     return own.union(born).select("seq", "pid", (F.col("o") == 0).alias("child_row"), (before + F.when(F.col("o") == 0, F.lit(int(rebind))).otherwise(0)).cast("long").alias("incarnation"))
 
 
-def normal_path(path: Column) -> Column:
-    """One pass over doubled slashes, from the left."""
-    return F.replace(path, F.lit("//"), F.lit("/"))
-
-
-def basename(path: Column) -> Column:
-    return F.trim(F.element_at(F.split(path, "/"), -1))
-
-
 def file_versions(uses: DataFrame, upsert: bool = False) -> DataFrame:
     """uses (seq, path, is_write, ...) with ordinal (the path's vertex: a write opens a new one, a read keeps it) and version (counts writes to real files only). upsert: one vertex for each path."""
     upto = Window.partitionBy("path").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)

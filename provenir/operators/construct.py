@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import display_name, node_id
 from ..graph import ProvGraph
 
 KEY = ["pnode", "version"]
@@ -12,10 +13,6 @@ KEY = ["pnode", "version"]
 ANCESTRY_ATTRS = ("ANCESTRY", "INPUT", "FORKPARENT")
 
 
-def node_id(pnode: Column, version: Column) -> Column:
-    return F.concat_ws(".", pnode.cast("string"), version.cast("string"))
-
-
 def known_nodes(ancestry: DataFrame) -> DataFrame:
     """pnode, version: both ends of each ancestry pair, and version 0 of each object."""
     ends = F.array(*(F.struct(F.col(f"{e}_pnode").alias("pnode"), F.col(f"{e}_version").alias("version")) for e in ("parent", "child")), *(F.struct(F.col(f"{e}_pnode").alias("pnode"), F.lit(0).cast("long").alias("version")) for e in ("parent", "child")))
@@ -79,7 +76,7 @@ def make_graph(ancestry: DataFrame, records: DataFrame, strict: bool = False) ->
     bare = steps.select(F.col("src_pnode").alias("pnode"), F.col("src_version").alias("version")).distinct().join(nodes, KEY, "left_anti").withColumn("attrs", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
     rows = full.unionByName(bare)
     freeze = F.split(F.try_element_at("attrs", F.lit("FREEZETIME")), r"\.")
-    table = rows.select(node_id(F.col("pnode"), F.col("version")).alias("id"), *KEY, F.try_element_at("attrs", F.lit("TYPE")).alias("type"), F.coalesce(F.try_element_at("attrs", F.lit("NAME")), F.format_string("PIPE-(%d, %d)", "pnode", "version")).alias("name"), F.get(freeze, 0).cast("int").alias("freeze_sec"), F.get(freeze, 1).cast("int").alias("freeze_nsec"), "attrs")
+    table = rows.select(node_id(F.col("pnode"), F.col("version")).alias("id"), *KEY, F.try_element_at("attrs", F.lit("TYPE")).alias("type"), display_name(F.try_element_at("attrs", F.lit("NAME")), F.col("pnode"), F.col("version")).alias("name"), F.get(freeze, 0).cast("int").alias("freeze_sec"), F.get(freeze, 1).cast("int").alias("freeze_nsec"), "attrs")
     return ProvGraph(table, resolve_types(parents, inputs, forks, versions, strict))
 
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import gaussian
+
 BANDWIDTH = 0.5
 #: Places to which log-likelihoods are rounded before they are ranked, so that symmetric values tie.
 PLACES = 12
@@ -14,11 +16,6 @@ PLACES = 12
 PART = 2000
 
 
-def gaussian(x: Column, mean: Column, sigma: Column) -> Column:
-    """The normal density."""
-    return F.exp(-F.pow(x - mean, F.lit(2.0)) / (2 * F.pow(sigma, F.lit(2.0)))) / (math.sqrt(2 * math.pi) * sigma)
-
-
 def model(samples: DataFrame) -> DataFrame:
     """name, stat, value, cnt: the samples with equal values counted once."""
     return samples.groupBy("name", "stat", "value").agg(F.count("*").alias("cnt"))
