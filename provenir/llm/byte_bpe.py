@@ -25,7 +25,6 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import regex
-import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -212,10 +211,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The ids of a piece: the adjacent pair of the lowest rank is merged first, the leftmost of equals.
-
-    Plain Python, for tests: what the workers' merger must give.
-    """
+    """The ids of a piece: the adjacent pair of the lowest rank is merged first, the leftmost of equals. Long pieces keep their pairs in a heap."""
     if (whole := ranks.get(piece)) is not None:
         return [whole]
     n = len(piece)
@@ -258,13 +254,12 @@ class Pieces(dict):
     """From a piece to its ids, packed as little-endian 32-bit integers."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        # The library's pair merger takes a piece as it is: its pattern isn't used.
-        self.merge = tiktoken.Encoding("pieces", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+        self.ranks = ranks
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= CACHE:
             self.clear()
-        packed = array("I", self.merge(piece)).tobytes()
+        packed = array("I", merge(piece.encode(), self.ranks)).tobytes()
         if len(piece) <= 64:
             self[piece] = packed
         return packed

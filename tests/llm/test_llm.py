@@ -175,8 +175,42 @@ def test_secrets_by_their_best_stretch(spark):
     assert got == [f"random:0:{len(x)}" for x in found] + [""] * len(plain)
 
 
+def test_many_matches_in_one_text(spark):
+    text = "".join(f"x{k} token=abc{k:07d}Q, " for k in range(6000))
+    df = spark.createDataFrame([(1, text), (2, text[:300])], "doc_id long, text string").withColumn("secrets", F.lit("own"))
+    model = secrets.fit(df)
+    found = secrets.scan_secrets(df, model)
+    assert found.columns == df.columns
+    began = time.time()
+    got = {r.doc_id: r for r in found.select("doc_id", secrets.joined_spans(F.filter("secrets", lambda x: x["kind"] == "assign")).alias("s"), secrets.redacted(F.col("text"), F.col("secrets")).alias("t")).collect()}
+    assert got[1].s == brute_base(text) and got[2].s == brute_base(text[:300]) and time.time() - began < 60
+    assert got[1].t.count("[SECRET]") >= 6000 and "token=" not in got[1].t
+
+
+def test_added_spans_clear_of_base():
+    """The two walks against all pairs of spans."""
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        base = sorted({(int(a), int(k), int(a + n)) for a, k, n in zip(rng.integers(0, 60, 4), rng.integers(0, 3, 4), rng.integers(1, 25, 4))})
+        random = [(a, 3, a + 6) for a in range(0, 60, 8) if rng.random() < 0.6]
+        top, after = -1, []
+        for a, k, b in sorted(base + random):
+            if k < 3:
+                top = max(top, b)
+            if k < 3 or top <= a:
+                after.append((a, k, b))
+        low, kept = 1 << 30, []
+        for a, k, b in reversed(after):
+            if k < 3:
+                low = min(low, a)
+            if k < 3 or low >= b:
+                kept.append((a, k, b))
+        assert sorted(kept) == sorted(base + [x for x in random if not any(c < x[2] and x[0] < d for c, _, d in base)])
+
+
 def test_redaction(docs):
     model = secrets.fit(docs)
+    assert [secrets.RANKS.index(k) for k in ("assign", "access", "hex", "random")] == [0, 1, 2, 3]
     got = {r.doc_id: r.t for r in secrets.scan_secrets(docs, model).select("doc_id", secrets.redacted(F.col("text"), F.col("secrets")).alias("t")).collect()}
     assert got[0] is None and got[3] == TEXTS[3] and got[9] == '[SECRET]" and [SECRET]'
 
@@ -244,6 +278,54 @@ def test_media_carving():
     assert media.find_media(b"", media.automaton()) == []
 
 
+def check_sum(data, table, bits):
+    crc = 0
+    for x in data:
+        crc = (crc << 8 & (1 << bits) - 1) ^ table[crc >> bits - 8 ^ x]
+    return crc
+
+
+def test_flac():
+    assert check_sum(b"123456789", media.CRC8, 8) == 0xF4 and check_sum(b"123456789", media.CRC16, 16) == 0xFEE8
+
+    def frame(number, samples):
+        head = bytes([0xFF, 0xF8, 0x60, 0x00, number, 15])
+        whole = head + bytes([check_sum(head, media.CRC8, 8)]) + b"\x00" + samples
+        return whole + check_sum(whole, media.CRC16, 16).to_bytes(2, "big")
+
+    start = b"fLaC" + b"\x00\x00\x00\x22" + b"\x00\x10" * 17 + b"\x84\x00\x00\x03abc"
+    sound = start + frame(0, b"\x00\x07") + frame(1, b"\x01\x07")
+    found = media.find_media(b"x" + sound + b"tail", media.automaton())
+    assert [(x.type, x.start, x.end) for x in found] == [("audio/flac", 1, 1 + len(sound))]
+    for broken in (start, sound[:-1], start + b"\x00" * 40, sound[:4] + b"\x80" + sound[5:], b"fLaC" + b"\x00" * 60, sound[:60] + b"\x55" + sound[61:]):
+        assert [(x.start, x.end) for x in media.find_media(broken, media.automaton())] in ([], [(0, len(start) + len(frame(0, b"\x00\x07")))]), broken
+
+
+def test_media_closing_records():
+    import io
+    import zipfile
+
+    with zipfile.ZipFile(packed := io.BytesIO(), "w") as z:
+        z.writestr("a.txt", "hello")
+        z.writestr("b.txt", "there")
+    pdf = b"%PDF-1.4\n1 0 obj\nstartxref\n9\n%%EOF"
+    blob = b"PK\x03\x04 no archive " + packed.getvalue() + b" %PDF-1.7 not closed before " + pdf + b"%PDF-"
+    found = [(x.type, blob[x.start : x.end]) for x in media.find_media(blob, media.automaton())]
+    assert ("application/zip", packed.getvalue()) in found and ("application/pdf", pdf) in found and len(found) == 3
+    began = time.process_time()
+    assert media.find_media(b"%PDF-" * 200_000, media.automaton()) == [] and media.find_media(b"PK\x03\x04\xff\xd8\xff\xe0\x00\x02\xff\xda\x00\x02" * 50_000, media.automaton()) == []
+    assert len(media.find_media(b"%PDF-" * 100_000 + b"startxref%%EOF", media.automaton())) == 100_000
+    assert time.process_time() - began < 10
+
+
+def test_media_of_nothing(spark, none):
+    stored = none.select("doc_id", F.lit(b"").alias("m"), F.lit("x").alias("declared"), F.lit(1).alias("media_type"))
+    assert media.sniff(stored, "m", "declared", ["doc_id"]).count() == 0
+    df = spark.createDataFrame([(1, None, None), (1, bytearray(b"abc"), media.UNKNOWN)], "doc_id long, m binary, declared string").withColumn("feature", F.lit("own"))
+    got = sorted((r.media_bytes, r.media_type, r.corrected, r.payload_bytes) for r in media.sniff(df, "m", "declared", ["doc_id"], carve=True).collect())
+    assert got == [(0, media.UNKNOWN, True, 0), (3, media.UNKNOWN, False, 0)]
+
+
 # 5
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
