@@ -720,6 +720,26 @@ def test_near_copies(spark, docs):
     assert got != fps and near_copies.near_copies(df.where("doc_id < 0")).count() == 0
 
 
+@pytest.mark.parametrize("block", [near_copies.BLOCK_BYTES, 3000])
+def test_clouds_of_changed_copies(spark, monkeypatch, block):
+    """Members of a group that are near some others and far from most; with small blocks, over many pairs of them."""
+    monkeypatch.setattr(near_copies, "BLOCK_BYTES", block)
+    rng = np.random.default_rng(11)
+    base = [f"w{x}" for x in rng.integers(0, 5000, 150)]
+    texts = [" ".join(base)] + [" ".join(f"z{rng.integers(0, 9000)}" if rng.random() < share else x for x in base) for share in (0.01, 0.02, 0.03, 0.05, 0.08) for _ in range(14)]
+    for _ in range(30):  # chains: each a copy of one before
+        w = texts[int(rng.integers(0, len(texts)))].split()
+        for k in rng.integers(0, len(w), 2):
+            w[int(k)] = f"y{rng.integers(0, 9000)}"
+        texts.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    root = {r.doc_id: r.root for r in near_copies.near_copies(df).collect()}
+    first = {}
+    got = [first.setdefault(root[k], k) for k in range(len(texts))]
+    want = brute_near_copies(texts)
+    assert got == want and 5 < len(set(want)) < len(texts)
+
+
 def test_stages_decide_on_rows(spark, tmp_path):
     import corpus_pipeline
 
