@@ -207,6 +207,24 @@ def beginnings(word: str) -> list[str]:
     return [word] + [word[:n] + "+" for n in BEGINNINGS if len(word) > n]
 
 
+#: What parts may hold inside that can be a border, and the letters that a part starts with.
+JOINED = re.compile(rf"(?![{SIGNS}])[\W\d_]")
+LEAD = re.compile(rf"(?:(?![{SIGNS}])[^\W\d_])*")
+#: Letters of a skeleton that are compared.
+SKELETON = 3
+
+
+def skeleton(letters: str) -> str:
+    """The first letters, each run of one letter as one."""
+    out = ""
+    for c in letters:
+        if not out or out[-1] != c:
+            out += c
+            if len(out) == SKELETON:
+                break
+    return out
+
+
 class Detector(NamedTuple):
     counts: np.ndarray  # of the language model
     markers: dict[str, float]
@@ -221,11 +239,21 @@ class Weights(dict):
 
     def __init__(self, own: Detector):
         self.own, self.speller = own, Speller(own.counts)
+        self.starts = {x[:n] for m in own.markers for x in [skeleton(m.rstrip("+"))] for n in range(1, len(x) + 1)}
+        self.short = {x for m in own.markers for x in [skeleton(m.rstrip("+"))] if len(x) < SKELETON}
+
+    def may_hold(self, part: str) -> bool:
+        """False if no reading can be a marker or begin with one: readings repeat letters or don't, and keep those that a part starts with."""
+        core = part.strip(AROUND)
+        if not core or JOINED.search(core):
+            return bool(core)
+        lead = skeleton(LEAD.match(core)[0])
+        return not lead or lead in self.starts or any(lead.startswith(x) for x in self.short)
 
     def __missing__(self, part: str) -> float:
         if len(self) >= CACHE:
             self.clear()
-        out = max(map(self.own.weight, self.speller.readings(part)), default=0.0)
+        out = max(map(self.own.weight, self.speller.readings(part)), default=0.0) if self.may_hold(part) else 0.0
         if len(part) <= 64:
             self[part] = out
         return out
@@ -237,10 +265,9 @@ def evidence(text: str, weights: Weights) -> tuple[float, float]:
     return (max(found), math.log1p(math.fsum(found))) if found else (0.0, 0.0)
 
 
-def learn_markers(texts: Sequence[str], labels: Sequence[int], speller: Speller) -> dict[str, float]:
-    """Features of toxic rows with their log-odds. Counts are hashed first, so that memory is bounded."""
+def learn_markers(texts: Sequence[str], labels: Sequence[int], speller: Speller, known: dict[str, list[str]]) -> dict[str, float]:
+    """Features of toxic rows with their log-odds. Counts are hashed first, so that memory is bounded. known: readings so far."""
     cells = np.zeros((2, HASHED), np.int32)
-    known: dict[str, list[str]] = {}
 
     def spell(part: str) -> list[str]:
         if part not in known:
@@ -273,10 +300,10 @@ def learn_markers(texts: Sequence[str], labels: Sequence[int], speller: Speller)
 
 def train(texts: Sequence[str], labels: Sequence[int], counts: np.ndarray) -> Detector:
     """Markers of all rows; the layer is fitted on every fourth row, with markers of the others."""
-    speller = Speller(counts)
+    speller, known = Speller(counts), {}
     held = [k for k in range(len(texts)) if k % 4 == 0]
     rest = [k for k in range(len(texts)) if k % 4]
-    part = Detector(counts, learn_markers([texts[k] for k in rest], [labels[k] for k in rest], speller), (0.0, 0.0, 0.0))
+    part = Detector(counts, learn_markers([texts[k] for k in rest], [labels[k] for k in rest], speller, known), (0.0, 0.0, 0.0))
     weigh = Weights(part)
     x = np.array([(1.0, *evidence(texts[k], weigh)) for k in held]).reshape(-1, 3)
     y = np.array([labels[k] for k in held], float)
@@ -285,7 +312,7 @@ def train(texts: Sequence[str], labels: Sequence[int], counts: np.ndarray) -> De
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         ridge = np.diag([0.01, 0.05, 0.05])
         w -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (p - y) + ridge @ w)
-    return Detector(counts, learn_markers(texts, labels, speller), tuple(w))
+    return Detector(counts, learn_markers(texts, labels, speller, known), tuple(w))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS) -> Detector:

@@ -514,6 +514,24 @@ def test_viterbi_against_all_paths():
     assert speller.readings("m0rr0n")[0] == "moron" and "idiot" in speller.readings("i d i o t") and "moron" in speller.readings("m.o-r_o*n")
 
 
+def test_parts_that_cannot_hold_a_marker():
+    """What is not read gets what it would get if it were."""
+    speller = speller_of("the moron and the idiot were all at odds, too; a fool is no moron and i do it " * 9)
+    markers = {m: 1.0 for m in ("moron", "moro+", "idiot", "fool", "ab", "aab", "cccc+", "zz", "ooo+")}
+    own = toxicity.Detector(np.zeros(toxicity.SIZE**3, np.int64), markers, (0.0, 1.0, 1.0))
+    weights = toxicity.Weights(own)
+    weights.speller = speller
+    rng = np.random.default_rng(6)
+    signs = "moridtfl0abcz1$@!*-. '\u00e9\u00b55"
+    parts = ["".join(signs[int(x)] for x in rng.integers(0, len(signs), int(rng.integers(1, 9)))).strip() for _ in range(3000)] + ["mooron", "m0r0n", "zzz", "aabx", "abx", "foool", "cccccd", "ooops", "!m0ron!", "(idiot)", "co-fool"]
+    for m in ("moron", "idiot", "fool", "zz", "cccc", "friend", "road"):
+        for _ in range(60):  # each letter as it is, twice, thrice, disguised, or with something after it
+            parts.append("".join(str(rng.choice([c, c, c * 2, c * 3, {"o": "0", "i": "1", "l": "!", "d": "-d", "r": "r."}.get(c, c), c + "*"])) for c in m) + str(rng.choice(["", "s", "!", "8", "- a"])))
+    full = {p: max(map(own.weight, speller.readings(p)), default=0.0) for p in parts}
+    assert {p: weights[p] for p in parts} == full
+    assert sum(full.values()) > 100 and sum(not weights.may_hold(p) for p in parts) > 100
+
+
 def test_long_parts_take_linear_time():
     speller = speller_of("the quick brown fox " * 20)
     rng = np.random.default_rng(1)
