@@ -31,7 +31,7 @@ MARKERS = ("moron", "idiot", "stupid")
 
 def document_rows():
     rng = np.random.default_rng(4)
-    own = [*enumerate(TEXTS), (3, TEXTS[3]), (None, "no id, " + " ".join(BASE[:14])), (None, "no id, " + " ".join(BASE[:14])), (None, None), (50, "x " + " ".join(BASE[20:40]) + " y"), (51, "It\u2019s \u00c9TUDE short ITEM here"), (52, "word " * 40_000), (52, "key Zx9Qk2Lp0VbT7rWcYh31 end")]
+    own = [*enumerate(TEXTS), (3, TEXTS[3]), (None, "no id, " + " ".join(BASE[:14])), (None, "no id, " + " ".join(BASE[:14])), (None, None), (50, "x " + " ".join(BASE[20:40]) + " y"), (51, "It\u2019s \u00c9TUDE short ITEM here"), (52, "word " * 6_000), (52, "key Zx9Qk2Lp0VbT7rWcYh31 end")]
     for k in range(100, 260):
         prose = " ".join(f"{'the of and to in'.split()[int(x) % 5]} v{x}" for x in rng.integers(0, 400, 25))
         if k % 3 == 0:  # junk
