@@ -19,12 +19,12 @@ def before(buckets: DataFrame) -> DataFrame:
 
 
 def after(buckets: DataFrame) -> DataFrame:
-    """`b`, `after`: the first value of `first` that isn't NULL in the buckets (b, first) after each."""
+    """`b`, `after`: the first value of `first` that isn't NULL in the buckets (b, first) after each. Read backwards, so that frames are carried along."""
     spans = buckets.select("b", "first", F.floor(F.col("b") / SPAN).alias("span"))
-    ahead = lambda w: F.first("first", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    ahead = lambda w: F.last("first", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     tops = spans.groupBy("span").agg(F.min("first").alias("first"))
-    beyond = tops.select("span", ahead(Window.orderBy("span")).alias("beyond"))
-    return spans.withColumn("own", ahead(Window.partitionBy("span").orderBy("b"))).join(beyond, "span").select("b", F.coalesce("own", "beyond").alias("after"))
+    beyond = tops.select("span", ahead(Window.orderBy(F.desc("span"))).alias("beyond"))
+    return spans.withColumn("own", ahead(Window.partitionBy("span").orderBy(F.desc("b")))).join(beyond, "span").select("b", F.coalesce("own", "beyond").alias("after"))
 
 
 def count_below(points: DataFrame, asked: DataFrame, width: int) -> DataFrame:
