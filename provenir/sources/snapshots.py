@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Where listings have the pid and the command (from 1).
+#: Where listings have the pid and the command (from 1). A pid of more digits runs on and moves what follows.
 PID_AT, PID_WIDTH, CMD_AT = 11, 4, 62
 #: Lines shorter than this are dates.
 SHORT = 50
@@ -39,5 +39,9 @@ def from_listing(lines: DataFrame) -> DataFrame:
     rows = lines.withColumn("batch", F.sum(dated.cast("int")).over(order).cast("int"))
     zone = F.regexp_replace("line", r"\s[A-Z]{2,5}\s(?=\d{4}\s*$)", " ")
     ends = rows.where(dated).select("file", "batch", _time(zone, "MMM d HH:mm:ss yyyy").alias("end_ts"))
-    own = rows.where(~dated).select("file", "batch", F.trim(F.substring("line", PID_AT, PID_WIDTH)).alias("pid"), F.lit(None).cast("string").alias("ppid"), F.get(F.split(F.trim(F.substring("line", CMD_AT, 100000)), r"\s+"), 0).alias("cmd"))
+    more = F.regexp_extract(F.substring("line", PID_AT + PID_WIDTH - 1, 100000), r"^[0-9]([0-9]+)", 1)  # of the pid, beyond its columns
+    listed = rows.where(~dated).withColumn("more", more)
+    pid = F.trim(F.concat(F.substring("line", PID_AT, PID_WIDTH), "more"))
+    command = F.trim(F.substring(F.col("line"), F.length("more") + CMD_AT, F.lit(100000)))
+    own = listed.select("file", "batch", pid.alias("pid"), F.lit(None).cast("string").alias("ppid"), F.get(F.split(command, r"\s+"), 0).alias("cmd"))
     return own.where("pid rlike '^[0-9]+$'").join(ends, ["file", "batch"]).select("file", "batch", "end_ts", "pid", "ppid", "cmd")

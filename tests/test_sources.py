@@ -1,8 +1,11 @@
 import struct
 
+import duckdb
+from oracle import differences
 from pyspark.sql import functions as F
 
 from provenir.operators import audit_graph
+from provenir.plans import registry
 from provenir.sources import audit, kernel_db, labels, snapshots
 
 
@@ -71,6 +74,18 @@ def test_process_listing(spark):
     assert [(r.pid, r.cmd, r.end_ts) for r in got] == [("1234", "/usr/sbin/x", 896688000)]
 
 
+def test_process_listing_of_wide_pids(spark, tmp_path):
+    rows = [f"{'':10}{pid:>4}{'':47}/bin/x{pid} -d" for pid in (7, 9999, 10000, 1234567)]
+    got = snapshots.from_listing(lines(spark, ["Mon Jun  1 08:00:00 EDT 1998", *rows])).collect()
+    assert sorted((r.pid, r.cmd) for r in got) == [(p, f"/bin/x{p}") for p in ("10000", "1234567", "7", "9999")]
+    events = [(50 * k, user) for k, user in enumerate((3, 9999, 10000, 123456))]
+    spark.createDataFrame(events, "event_id long, user_id long").selectExpr("event_id", "timestamp_ntz'2024-01-01 10:00:00' AS ts", "user_id", "'view' AS event_type").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    n, m, different = differences(registry.queries()["listed_processes"](spark, str(tmp_path)), con, registry.oracle_sql()["listed_processes"])
+    assert n == m == 8 and not different
+
+
 def test_label_list(spark):
     df = spark.createDataFrame([("1 06/01/1998 08:00:00 a b c d e f g ffb_x", ), ("2 06/01/1998 08:00:01 a b c d e f g -",), ("",), ("3 06/01/1998 08:00:01 a b c d e f g zzz",)], "value string")
     assert [(r.id, r.ts, r.type) for r in labels.parse(df).collect()] == [("1", 896688000, "u2r"), ("2", 896688001, "none"), ("3", 896688001, "unknown")]
