@@ -1,8 +1,12 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Candidates are texts that agree in one of BANDS bands of ROWS minima under permutations; a pair of
-similarity 0.8 meets in none with a probability of (1 - 0.8 ** ROWS) ** BANDS, 3e-7. Each candidate
-is then compared by its exact sets. Texts of equal sets are one node from the start. Each band's members are
+First by SimHash (see simhash): fingerprints of the same shingles are dealt by vantage points and searched
+by trees, and texts whose fingerprints differ by at most RADIUS bits are compared by their exact sets.
+Texts of a similarity of 0.8 can differ by more bits (by 13 at sf0.1), so that a further path follows for
+what the fingerprints leave apart: texts that agree in one of BANDS bands of ROWS minima under
+permutations; a pair of similarity 0.8 meets in none with a probability of (1 - 0.8 ** ROWS) ** BANDS,
+3e-7. Each candidate is compared by its exact sets there too. Texts of equal sets are one node from the
+start. A band whose members are in one component already is left out; each other band's members are
 first compared with one of them, the one that meets most others over all bands (of a group of changed
 copies, what they were made of), so that a large group becomes one component without all of its pairs.
 Where a band's members are still in several components, its sets are compared in blocks of bounded size, each
@@ -26,7 +30,7 @@ from pyspark.sql import types as T
 
 from .common import append_columns, bounded_batches, checkpointed, field, sized, split_join
 from .decontaminate import bitmap
-from .simhash import SEED, components
+from .simhash import RADIUS, SEED, components, fingerprint, shard_links
 
 SHINGLE = 5
 #: Least similarity, as a fraction.
@@ -62,7 +66,7 @@ def bands(own: np.ndarray, drawn: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, keep: list[str], text_col: str) -> DataFrame:
-    """`keep`, `s` (a hash of the shingle set), `n` (its size) and `bands` for each row."""
+    """`keep`, `s` (a hash of the shingle set), `n` (its size), `fp` (the fingerprint) and `bands` for each row."""
 
     def start():
         drawn = permutations()
@@ -70,11 +74,12 @@ def sketches(docs: DataFrame, keep: list[str], text_col: str) -> DataFrame:
         def compute(column: pa.Array) -> list[pa.Array]:
             sets = [shingle_set(x or "") for x in column.to_pylist()]
             s = np.fromiter((xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets), np.uint64, len(sets)).view(np.int64)
-            return [pa.array(s), pa.array([len(x) for x in sets], pa.int32()), pa.array([bands(x, drawn) for x in sets], pa.list_(pa.int64()))]
+            fps = np.array([fingerprint(x or "", SHINGLE) for x in column.to_pylist()], np.uint64).view(np.int64)
+            return [pa.array(s), pa.array([len(x) for x in sets], pa.int32()), pa.array(fps), pa.array([bands(x, drawn) for x in sets], pa.list_(pa.int64()))]
 
         return compute
 
-    return append_columns(docs, [text_col], keep, [field("s", T.LongType()), field("n", T.IntegerType()), field("bands", T.ArrayType(T.LongType()))], start)
+    return append_columns(docs, [text_col], keep, [field("s", T.LongType()), field("n", T.IntegerType()), field("fp", T.LongType()), field("bands", T.ArrayType(T.LongType()))], start)
 
 
 def shingle_sets(docs: DataFrame, keep: list[str], text_col: str) -> DataFrame:
@@ -107,6 +112,33 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, named: DataFrame) -> DataF
     return checkpointed(joined.withColumn("i", both).where(F.col("i") * SIMILAR[1] >= whole * SIMILAR[0]).select("a", "b"))
 
 
+def fingerprint_links(named: DataFrame, texts: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """`a`, `b`: similar sets whose texts' fingerprints differ by `radius` bits at most. named: `s`, `n`, `fp` and `h`.
+
+    One set of each fingerprint stands for it in the search; the others of the same fingerprint are compared with that one.
+    """
+    lead = checkpointed(named.groupBy("fp").agg(F.max(F.struct("n", "s")).alias("l"), F.count("*").alias("c")).select("fp", F.col("l.s").alias("s2"), F.col("l.n").alias("n2"), "c"))
+    same = split_join(named.select("fp", "s", "n"), lead.where("c > 1"), "fp", "c", named.count()).where("s <> s2").select("s", "n", "s2", "n2")
+    found = checkpointed(shard_links(lead.select("fp"), radius, via=True))
+    total = found.count()
+
+    def ends(end: str, s: str, n: str) -> DataFrame:
+        """What stands for the fingerprints at one end; one of them may have found many."""
+        own = lead.select(F.col("fp").alias(end), F.col("s2").alias(s), F.col("n2").alias(n))
+        return checkpointed(found.groupBy(end).agg(F.count("*").alias("c")).join(own, end))
+
+    across = split_join(split_join(found, ends("a", "s", "n"), "a", "c", total), ends("b", "s2", "n2"), "b", "c", total).select("s", "n", "s2", "n2")
+    near = same.union(across).where(alike(F.col("n"), F.col("n2")))
+    return similar_pairs(checkpointed(near.select(F.least("s", "s2").alias("a"), F.greatest("s", "s2").alias("b")).distinct()), texts, named)
+
+
+def apart_bands(entries: DataFrame, roots: DataFrame, total: int) -> DataFrame:
+    """`band`, `s`, `n`, `root` and `met` (members of the band): the entries of bands whose members are in several components."""
+    now = checkpointed(entries.select("band", "s", "n").join(roots, "s", "left").select("band", "s", "n", F.coalesce("root", "s").alias("root")))
+    several = now.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c")).where("lo <> hi").select("band", "c", F.col("c").alias("met"))
+    return checkpointed(split_join(now, checkpointed(several), "band", "c", total))
+
+
 def block_links(nodes: np.ndarray, roots: np.ndarray, blocks: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, int]]:
     """Places of pairs that are similar and connect the components that roots tell; of two blocks, pairs between them alone."""
     _, label = np.unique(roots, return_inverse=True)
@@ -179,20 +211,21 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     texts = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("t")).withColumn("h", F.xxhash64("t"))
     rows = checkpointed(sketches(texts, [id_col, "h"], "t"))
     texts = texts.select("h", "t")
-    named = checkpointed(rows.groupBy("s").agg(F.min("h").alias("h"), F.count("*").alias("c")))
+    named = checkpointed(rows.groupBy("s").agg(F.min(F.struct("h", "n", "fp")).alias("l"), F.count("*").alias("c")).select("s", "l.h", "l.n", "l.fp", "c"))
+    close = fingerprint_links(named, texts)
+    roots = components(close).withColumnRenamed("node", "s")
     dealt = checkpointed(rows.select("s", "n", "bands").dropDuplicates(["s"])).select("s", "n", F.explode("bands").alias("band"))
-    crowded = checkpointed(dealt.groupBy("band").agg(F.count("*").alias("c")).where("c > 1").withColumn("met", F.col("c")))
+    crowded = checkpointed(dealt.groupBy("band").agg(F.count("*").alias("c")).where("c > 1"))
     entries = checkpointed(split_join(dealt, crowded, "band", "c", BANDS * named.count()))
     total = entries.count()
-    busy = entries.groupBy("s").agg(F.sum("met").alias("score"))
-    scored = checkpointed(entries.join(busy, "s").select("band", "s", "n", "score"))
-    lead = scored.groupBy("band").agg(F.max(F.struct("score", "s", "n")).alias("l"), F.count("*").alias("c")).select("band", F.col("l.s").alias("s2"), F.col("l.n").alias("n2"), "c")
-    met = split_join(scored, lead, "band", "c", total).where((F.col("s") != F.col("s2")) & alike(F.col("n"), F.col("n2")))
-    links = similar_pairs(checkpointed(met.select(F.least("s", "s2").alias("a"), F.greatest("s", "s2").alias("b")).distinct()), texts, named)
+    left = apart_bands(entries, roots, total)
+    busy = left.groupBy("s").agg(F.sum("met").alias("score"))
+    scored = checkpointed(left.join(busy, "s").select("band", "s", "n", "root", "score"))
+    lead = scored.groupBy("band").agg(F.max(F.struct("score", "s", "n", "root")).alias("l"), F.count("*").alias("c")).select("band", F.col("l.s").alias("s2"), F.col("l.n").alias("n2"), F.col("l.root").alias("root2"), "c")
+    met = split_join(scored, lead, "band", "c", total).where((F.col("root") != F.col("root2")) & alike(F.col("n"), F.col("n2")))
+    links = close.union(similar_pairs(checkpointed(met.select(F.least("s", "s2").alias("a"), F.greatest("s", "s2").alias("b")).distinct()), texts, named))
     roots = components(links).withColumnRenamed("node", "s")
-    now = checkpointed(scored.join(roots, "s", "left").select("band", "s", "n", F.coalesce("root", "s").alias("root")))
-    several = now.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c")).where("lo <> hi").select("band", "c")
-    apart = checkpointed(split_join(now, checkpointed(several), "band", "c", total))
+    apart = apart_bands(left, roots, total).drop("met")
     if not apart.isEmpty():
         more = checkpointed(search_bands(apart, sets_of(apart, texts, named)))
         links = links.union(similar_pairs(more, texts, named))

@@ -135,8 +135,8 @@ class VantagePointTree:
         return np.concatenate(out) if out else np.empty(0, np.int64)
 
 
-def links_within(points: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
-    """(place, place of its component's first point) for each of the distinct points that has a link.
+def links_within(points: np.ndarray, radius: int, via: bool = False) -> Iterator[tuple[int, int]]:
+    """(place, place of its component's first point) for each of the distinct points that has a link; with via, the place of the point that found it, which is within radius.
 
     Each search takes what it finds out of the tree, so that a group of near copies costs a search
     for each member over what is left, not all of its pairs.
@@ -156,12 +156,13 @@ def links_within(points: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
         seen[first] = True
         todo = [first]
         while todo:
-            found = tree.take(points[todo.pop()], radius)
+            asked = todo.pop()
+            found = tree.take(points[asked], radius)
             new = found[~seen[found]]
             seen[new] = True
             todo += new.tolist()
             for x in new.tolist():
-                yield x, first
+                yield x, asked if via else first
 
 
 def block_count(n: int, radius: int = RADIUS, mean: int = 4096) -> int:
@@ -204,8 +205,8 @@ def cut_shards(dealt: DataFrame, radius: int, most: int = SHARD_MOST) -> DataFra
     return whole.union(cut.select("fp", F.xxhash64("shard", "side").alias("shard")))
 
 
-def shard_links(fps: DataFrame, radius: int = RADIUS, most: int = SHARD_MOST) -> DataFrame:
-    """Links between distinct fingerprints: `a` < `b` as signed integers, a spanning set for each shard.
+def shard_links(fps: DataFrame, radius: int = RADIUS, most: int = SHARD_MOST, via: bool = False) -> DataFrame:
+    """Links between distinct fingerprints: `a` < `b` as signed integers, a spanning set for each shard; with via, of pairs within radius only.
 
     fps: distinct values in column fp. The shards of a block are its values; a shard's rows are
     numbers only, and copies are counted once.
@@ -243,7 +244,7 @@ def shard_links(fps: DataFrame, radius: int = RADIUS, most: int = SHARD_MOST) ->
             for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(keys_)], strict=True):
                 if hi - lo > 1:
                     points = values[lo:hi].view(np.uint64)
-                    for x, y in links_within(points, radius):
+                    for x, y in links_within(points, radius, via):
                         a.append(int(values[lo + x]))
                         b.append(int(values[lo + y]))
             if a:

@@ -738,6 +738,35 @@ def test_near_copies(spark, docs):
     assert got != fps and near_copies.near_copies(df.where("doc_id < 0")).count() == 0
 
 
+def test_near_copies_by_fingerprints(spark, tmp_path, monkeypatch):
+    """The pipeline's stage searches fingerprints; of what they find only similar texts link, and each link that can be is found."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(5)
+    texts = []
+    for size in (6, 7, 8, 40, 200):
+        for _ in range(12):
+            base = [f"w{x}" for x in rng.integers(0, 300, size)]
+            texts += [" ".join(base), " ".join([*base[:-1], "end"]), " ".join([*base, *base[:2]])]
+    texts += ["", "a b c d e " * 30, "a b c d e " * 31]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = near_copies.sketches(df.withColumn("h", F.xxhash64("text")), ["doc_id", "h"], "text").dropDuplicates(["s"]).collect()
+    named = spark.createDataFrame([(r.s, r.h, r.n, r.fp) for r in rows], "s long, h long, n int, fp long")
+    got = {(r.a, r.b) for r in near_copies.fingerprint_links(named, df.select(F.xxhash64("text").alias("h"), F.col("text").alias("t"))).collect()}
+    own = {r.s: (texts[r.doc_id], r.fp) for r in rows}
+    sets = {s: set(near_copies.shingle_set(t).tolist()) for s, (t, _) in own.items()}
+    assert all(fp & (1 << 64) - 1 == simhash.fingerprint(t, near_copies.SHINGLE) for t, fp in own.values())
+    bits = lambda a, b: ((own[a][1] ^ own[b][1]) & (1 << 64) - 1).bit_count()
+    close = {(a, b) for a in own for b in own if a < b and bits(a, b) <= simhash.RADIUS}
+    similar = {(a, b) for a, b in close if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    assert got and got <= similar
+    asked = []
+    search = near_copies.shard_links
+    monkeypatch.setattr(near_copies, "shard_links", lambda *a, **k: asked.append(1) or search(*a, **k))
+    kept = {r.doc_id for r in corpus_pipeline.dedup_stage(spark, df, str(tmp_path)).collect()}
+    assert asked and kept == set(brute_near_copies(texts))
+
+
 @pytest.mark.parametrize("block", [near_copies.BLOCK_BYTES, 3000])
 def test_clouds_of_changed_copies(spark, monkeypatch, block):
     """Members of a group that are near some others and far from most; with small blocks, over many pairs of them."""
