@@ -122,11 +122,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
 BROADCAST_BYTES = 32 << 20
 
 
-def sized(table: DataFrame) -> DataFrame:
-    """table, to be broadcast if its rows hold BROADCAST_BYTES at most: 16 bytes a value, and what terms and arrays hold."""
+def fits(table: DataFrame) -> bool:
+    """Whether table may be broadcast: its rows hold BROADCAST_BYTES at most, 16 bytes a value and what terms and arrays hold."""
     wide = sum((F.coalesce(F.octet_length(c) if kind == "string" else F.size(c) * 16, F.lit(0)) for c, kind in table.dtypes if kind == "string" or kind.startswith("array")), F.lit(16 * len(table.columns)))
-    held = table.agg(F.coalesce(F.sum(wide), F.lit(0)).alias("b")).first().b
-    return F.broadcast(table) if held <= BROADCAST_BYTES else table
+    return table.agg(F.coalesce(F.sum(wide), F.lit(0)).alias("b")).first().b <= BROADCAST_BYTES
+
+
+def sized(table: DataFrame) -> DataFrame:
+    """table, to be broadcast if it fits."""
+    return F.broadcast(table) if fits(table) else table
 
 
 #: A key is hot if it has more than this part of the rows: there are fewer of them than its inverse, whatever the input.
@@ -136,8 +140,11 @@ HOT = 100_000
 def split_join(rows: DataFrame, table: DataFrame, key: str, weight: str, total: int, how: str = "inner") -> DataFrame:
     """rows joined with table on key. Hot keys (table's column `weight` counts their rows of `total`) are broadcast, HOT of them at most; all others are shuffled.
 
-    rows should be cheap to read twice; table has each key once. `weight` isn't returned.
+    rows should be cheap to read twice; table has each key once. `weight` isn't returned. With fewer than
+    HOT rows every key is hot: one join does, and the driver plans and runs no shuffles of nothing.
     """
+    if total < HOT:
+        return rows.join(F.broadcast(table.drop(weight)), key, how)
     hot = F.broadcast(table.where(F.col(weight) * HOT > total).drop(weight))
     rest = rows.join(hot.select(key), key, "left_anti")
     return rows.join(hot, key).unionByName(rest.join(table.where(F.col(weight) * HOT <= total).drop(weight), key, how), allowMissingColumns=True)

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, bounded_batches, checkpointed, field, sized, split_join
+from .common import append_columns, bounded_batches, checkpointed, field, fits, sized, split_join
 from .decontaminate import bitmap
 from .simhash import RADIUS, SEED, components, fingerprint, shard_links
 
@@ -99,8 +99,8 @@ def alike(a: Column, b: Column) -> Column:
 def sets_of(wanted: DataFrame, texts: DataFrame, named: DataFrame) -> DataFrame:
     """`s` and `own` (the shingle set) for each of the wanted `s`. texts: `h` and `t`; named: `s` and the `h` of one text that has its set."""
     known = checkpointed(wanted.select("s").distinct().join(named.select("s", "h"), "s"))
-    found = texts.where(bitmap(known)).join(sized(known), "h").dropDuplicates(["s"])
-    return checkpointed(shingle_sets(found, ["s"], "t"))
+    found = texts.join(F.broadcast(known), "h") if fits(known) else texts.where(bitmap(known)).join(known, "h")
+    return checkpointed(shingle_sets(found.dropDuplicates(["s"]), ["s"], "t"))
 
 
 def similar_pairs(pairs: DataFrame, texts: DataFrame, named: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ the text are read, so that other columns can't clash; a column in keep must not
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Sequence
 from typing import NamedTuple
 
@@ -139,6 +140,21 @@ def features(text: str, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]
     return ids, np.bincount(place, np.append(times, same) if same else times)
 
 
+def packed(texts: Sequence[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Features of all texts, one after another: buckets, counts, and where each text's begin and the last one's end.
+
+    Two arrays of 32-bit numbers, which the process gives back as wholes; what thousands of small ones
+    held would stay with the driver after training.
+    """
+    own, times, edges = array("i"), array("I"), [0]
+    for t in texts:
+        ids, counts = features(t, buckets)
+        own.frombytes(ids.astype(np.int32).tobytes())
+        times.frombytes(counts.astype(np.uint32).tobytes())
+        edges.append(len(own))
+    return np.frombuffer(own, np.int32), np.frombuffer(times, np.uint32), edges
+
+
 def train(texts: Sequence[str], labels: Sequence[int], buckets: int = BUCKETS, dim: int = DIM, epochs: int = EPOCHS, rate: float = RATE, seed: int = 7) -> Model:
     """Stochastic gradient descent over single documents, with a rate that falls to nothing."""
     if not texts:
@@ -147,12 +163,12 @@ def train(texts: Sequence[str], labels: Sequence[int], buckets: int = BUCKETS, d
     table = (rng.random((buckets, dim), np.float32) - 0.5) / dim
     layer = np.zeros((2, dim))
     bias = np.zeros(2)
-    rows = [features(t, buckets) for t in texts]
+    own, times, edges = packed(texts, buckets)
     y = np.asarray(labels, int)
-    step, steps = 0, epochs * len(rows)
+    step, steps = 0, epochs * len(texts)
     for _ in range(epochs):
-        for k in rng.permutation(len(rows)):
-            ids, counts = rows[k]
+        for k in rng.permutation(len(texts)):
+            ids, counts = own[edges[k] : edges[k + 1]], times[edges[k] : edges[k + 1]].astype(np.float64)
             now = rate * (1 - step / steps) * 0.25
             step += 1
             share = counts / counts.sum() if len(counts) else counts

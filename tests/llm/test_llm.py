@@ -4,8 +4,11 @@ import hashlib
 import itertools
 import math
 import re
+import subprocess
+import sys
 import time
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -15,7 +18,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from provenir.llm import byte_bpe, chat, decontaminate, html_extract, media, near_copies, quality, queries, secrets, simhash, token_files, toxicity
+from provenir.llm import byte_bpe, chat, common, decontaminate, html_extract, media, near_copies, quality, queries, secrets, simhash, token_files, toxicity
 
 TEXTS = [
     None,
@@ -787,6 +790,66 @@ def test_clouds_of_changed_copies(spark, monkeypatch, block):
     assert got == want and 5 < len(set(want)) < len(texts)
 
 
+MEMORY = """
+import random, re
+from pathlib import Path
+from provenir.llm import quality
+
+def held():
+    return int(re.search(r"Pss_Anon:\\s+(\\d+)", Path("/proc/self/smaps_rollup").read_text())[1]) // 1024
+
+draw = random.Random(1)
+words = ["".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(5000)]
+texts = [" ".join(draw.choices(words, k=300)) for _ in range(2500)]
+quality.train(texts[:10], [0, 1] * 5, epochs=1)
+before = held()
+quality.train(texts, [0, 1] * 1250, epochs=0)
+print(held() - before)
+"""
+
+
+def test_training_gives_memory_back():
+    left = subprocess.run([sys.executable, "-c", MEMORY], cwd=Path(quality.__file__).parents[2], capture_output=True, text=True, check=True).stdout
+    assert int(left) < 45  # MB; as an array for each text, features stayed, 16 bytes for each of 10 million
+
+
+def test_packed_features():
+    own, times, edges = quality.packed(["", "one two one one", "", "x"])
+    assert edges[0] == edges[1] == 0 and edges[2] == edges[3] and len(edges) == 5
+    for k, t in enumerate(["", "one two one one", "", "x"]):
+        ids, counts = quality.features(t)
+        assert own[edges[k] : edges[k + 1]].tolist() == ids.tolist() and times[edges[k] : edges[k + 1]].tolist() == counts.tolist()
+    assert quality.train(["", ""], [0, 1]).weights.shape == (quality.BUCKETS,)
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_small_joins_have_no_shuffle(spark, monkeypatch, how):
+    rows = spark.createDataFrame([(k % 5, k) for k in range(40)] + [(None, 1)], "key long, v long")
+    table = spark.createDataFrame([(k, 8, k * 10) for k in range(4)], "key long, n long, w long")
+    few = common.split_join(rows, table, "key", "n", 41, how)
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and plan.count("BroadcastExchange") == 1
+    for hot in (1, 5, 20):
+        monkeypatch.setattr(common, "HOT", hot)
+        many = common.split_join(rows, table, "key", "n", 41, how)
+        assert many.columns == few.columns and sorted(map(str, many.collect())) == sorted(map(str, few.collect()))
+
+
+def test_sets_of_few_and_many(spark, monkeypatch):
+    texts = spark.createDataFrame([(f"one two three four five six {k}",) for k in range(20)], "t string").withColumn("h", F.xxhash64("t"))
+    named = texts.select((F.col("h") + 1).alias("s"), "h")
+    wanted = named.select("s").where("s % 2 = 0")
+
+    def refused(_):
+        raise AssertionError("a bitmap for what is broadcast")
+
+    with monkeypatch.context() as m:
+        m.setattr(near_copies, "bitmap", refused)
+        few = {r.s: r.own for r in near_copies.sets_of(wanted, texts, named).collect()}
+    monkeypatch.setattr(near_copies, "fits", lambda _: False)
+    assert few == {r.s: r.own for r in near_copies.sets_of(wanted, texts, named).collect()} and len(few) == wanted.count() > 0
+
+
 def test_stages_decide_on_rows(spark, tmp_path):
     import corpus_pipeline
 
